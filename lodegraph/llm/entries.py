@@ -4,15 +4,25 @@ from __future__ import annotations
 
 import importlib
 
+from lodegraph.runtime import ship
+
 #: query name -> module of this subpackage that holds the function of that name
 QUERIES = {
     "op1_token_store": "token_store",
+    "op3_exact_dedup": "exact_dedup",
+    "op4_simhash": "simhash",
+    "op9_warc_store": "warc_store",
+    "op10_decontaminate": "decontaminate",
 }
 
 
 def queries() -> dict:
     def bind(name: str, module: str):
-        return lambda spark, sf_dir: getattr(importlib.import_module(f"lodegraph.llm.{module}"), name)(spark, sf_dir)
+        def run(spark, sf_dir):
+            ship(spark)
+            return getattr(importlib.import_module(f"lodegraph.llm.{module}"), name)(spark, sf_dir)
+
+        return run
 
     return {name: bind(name, module) for name, module in QUERIES.items()}
 
