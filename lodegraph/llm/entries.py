@@ -9,6 +9,7 @@ from lodegraph.runtime import ship
 #: query name -> module of this subpackage that holds the function of that name
 QUERIES = {
     "op1_token_store": "token_store",
+    "op2_language_id": "language_id",
     "op3_exact_dedup": "exact_dedup",
     "op4_simhash": "simhash",
     "op9_warc_store": "warc_store",
