@@ -1,8 +1,8 @@
 """Language ID by a bidirectional gated recurrent network over bytes.
 
 The network (bigru.py) is trained in numpy on the driver from a bounded sample: for each language (the `max_labels`
-most frequent) at most `per_label` windows of labelled documents, each cut at a place that follows from the doc_id's
-hash. It labels every position of every whole text, and a document's distribution is the mean over its positions.
+most frequent) at most `per_label` windows of labelled documents, up to three of one, cut at places that follow from
+the doc_id's hash. It labels every position of every whole text, and a document's distribution is the mean over its positions.
 
 `held_out` is true if crc32(doc_id as text) mod 4 is 2; such documents are never learned from, nor are rows without a
 doc_id (held_out false). Null text and text without any letter is `und` with score 0, as is everything if there is
@@ -12,6 +12,8 @@ named like the new ones are replaced. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +24,7 @@ from lodegraph.llm.common import table
 
 UNKNOWN = "und"
 CUT = 160  # characters that hold a window
+CUTS = 3  # of one document
 
 
 def held_out(doc_id: Column) -> Column:
@@ -31,7 +34,7 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, per_label: int, max_labels: int) -> list:
     """Rows (lang, cut): at most per_label of each of at most max_labels languages, chosen by hash."""
     rows = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(~held_out(F.col("doc_id"))).filter(F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    rows = rows.select("lang", F.explode(F.array(*[F.xxhash64("doc_id", F.lit(k)) for k in range(CUTS)])).alias("h"), "text")
     off = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - CUT, F.lit(1))).cast("int") + 1
     rows = rows.select("lang", "h", F.substring("text", off, F.lit(CUT)).alias("cut"))
     # the filter on the rank is applied before the exchange, too: what moves is bounded for each task
@@ -66,7 +69,7 @@ def predictor(model: BiGRU | None):
     """A function of a text column: struct(lang, score)."""
 
     @F.arrow_udf("struct<lang:string,score:double>")
-    def predict(batches: "Iterator[pa.Array]") -> "Iterator[pa.Array]":  # noqa: F821, UP037
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
             data, starts, sizes = _bytes_of(column)
             if model is None or not len(sizes):
