@@ -107,11 +107,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     routed = digests(docs, True).join(routes, "fp", "left_semi")
     best = F.max_by(F.struct("doc_id", "n_points"), F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63)))))
     verified = routed.groupBy("norm").agg(F.first("text_sha256").alias("text_sha256"), best.alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    rows = digests(docs, False).join(verified.select("text_sha256", "best", "size"), "text_sha256", "left")
-    stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_points") == F.col("best.n_points")))
-    # rows that tie in all respects: number them; others are spread by a hash of their own
+    # rows that tie in all respects are numbered, before the join: the exchange is by all three columns
     w = Window.partitionBy("text_sha256", "doc_id", "n_points").orderBy("fp")
-    rows = rows.withColumn("stays", stays).withColumn("no", F.row_number().over(w))
+    rows = digests(docs, False).withColumn("no", F.row_number().over(w)).join(verified.select("text_sha256", "best", "size"), "text_sha256", "left")
+    stays = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_points") == F.col("best.n_points")))
+    rows = rows.withColumn("stays", stays)
     return rows.select(
         "doc_id",
         F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
