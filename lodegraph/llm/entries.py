@@ -12,6 +12,7 @@ QUERIES = {
     "op2_language_id": "language_id",
     "op3_exact_dedup": "exact_dedup",
     "op4_simhash": "simhash",
+    "op5_secrets": "secret_scan",
     "op6_pack": "packing",
     "op7_line_dedup": "line_dedup",
     "op8_suffix_dedup": "suffix_dedup",
