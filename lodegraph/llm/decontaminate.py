@@ -26,10 +26,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words(text: Column) -> Column:
     """Array of words; nothing for null."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP)
     # a gap at either end leaves an empty string there
-    parts = F.when(F.element_at(parts, 1) == "", F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
 def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
