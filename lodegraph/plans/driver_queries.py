@@ -510,3 +510,91 @@ def section_spans(t):
 def fence_parity(t):
     line = F.when((F.col("conv_id") * 7 + F.col("turn")) % 3 == 0, "  ```python").otherwise("text")
     return sections.fence_parity(t.conversations.select(F.col("conv_id").alias("doc"), F.col("turn").alias("line_no"), line.alias("line"))).select("doc", "line_no", "inside")
+
+
+# -- ingestion of texts
+
+MARKDOWN = "# Users\nintro\n## Login\n- with `token`\n```\n# not a heading\n```\n## Logout\nbye\n# Orders\nlist"
+DDL = 'CREATE TABLE IF NOT EXISTS "db"."t_user" (id INT PRIMARY KEY, name VARCHAR(10, 2), PRIMARY KEY (id));\nSELECT 1;\ncreate table orders (order_id int, `user_id` int, FOREIGN KEY (user_id) REFERENCES t_user(id));'
+JSON = '{"tables": {"users": {"columns": ["id", {"name": "email"}]}, "db.orders": ["order_id", {"column": "total"}], "bad": 3}}'
+
+
+def _chunks(t, kind: str, path: str, content: str):
+    from lodegraph.sources.resources import chunk_rows
+
+    return chunk_rows(t.spark.createDataFrame([(path, bytearray(content.encode()))], "path string, content binary"), kind).select("name", "summary")
+
+
+@query("SELECT * FROM (VALUES ('Users', 'Users. intro Login with token not a heading Logout bye'), ('Login', 'Login. with token not a heading'), ('Logout', 'Logout. bye'), ('Orders', 'Orders. list')) v(name, summary)")
+def chunk_markdown(t):
+    return _chunks(t, "prd", "/docs/prd.md", MARKDOWN)
+
+
+@query("SELECT * FROM (VALUES ('t_user', '表 t_user，字段：id, name'), ('orders', '表 orders，字段：order_id, user_id')) v(name, summary)")
+def parse_ddl(t):
+    return _chunks(t, "db", "/db/a.sql", DDL)
+
+
+@query("SELECT * FROM (VALUES ('users', '表 users，字段：id, email'), ('orders', '表 orders，字段：order_id, total')) v(name, summary)")
+def parse_json_schema(t):
+    return _chunks(t, "db", "/db/a.json", JSON)
+
+
+@query(
+    f"""WITH {NODES}, {FILES}, x AS (SELECT file_id, string_agg(name, ', ' ORDER BY start_line, node_id) FILTER (is_exported) AS e, string_agg(name, ', ' ORDER BY start_line, node_id) AS a FROM nodes WHERE kind <> 'function' GROUP BY 1)
+SELECT file_id, regexp_extract(file_path, '[^/]*$') || ': ' || coalesce(e, a, '无导出符号') AS file_summary FROM files LEFT JOIN x USING (file_id)"""
+)
+def heuristic_summaries(t):
+    from lodegraph.functions.summarize import file_summaries
+
+    return file_summaries(t.files(), t.nodes().filter("kind <> 'function'"))
+
+
+@query(f"WITH {NODES} SELECT node_id, CASE kind WHEN 'class' THEN name || '(x: int)' WHEN 'module' THEN name ELSE name || ' ' || kind END AS summary FROM nodes")
+def node_summaries(t):
+    from lodegraph.functions.summarize import node_summary
+
+    signature = F.when(F.col("kind") == "class", " (x: int)").when(F.col("kind") != "module", F.col("kind"))
+    return t.nodes().select("node_id", node_summary(F.col("name"), signature).alias("summary"))
+
+
+SOURCES = [
+    ("pkg/models.py", "python", "class Base:\n    pass\n\nclass User(Base):\n    def save(self):\n        return normalize(self.name)\n\ndef normalize(value: str) -> str:\n    return value.strip()\n"),
+    ("pkg/service.py", "python", "from models import User\n\ndef create(name: str) -> User:\n    return User(normalize(name))\n"),
+    ("web/a.ts", "typescript", "import { helper } from './b.js';\nexport function run(x: number): number {\n  return helper(x);\n}\n"),
+    ("web/b.ts", "typescript", "export const helper = (x: number) => x + 1;\n"),
+]
+
+
+def _sources(t):
+    return t.spark.createDataFrame(SOURCES, "file_path string, language string, source_code string").withColumn("hash", F.sha2("source_code", 256))
+
+
+@query(
+    """SELECT * FROM (VALUES ('pkg/models.py', 'Base', 'class', true, 1, 2), ('pkg/models.py', 'User', 'class', true, 4, 6), ('pkg/models.py', 'normalize', 'function', true, 8, 9), ('pkg/service.py', 'create', 'function', true, 3, 4),
+('web/a.ts', 'run', 'function', true, 2, 4), ('web/b.ts', 'helper', 'function', true, 1, 1)) v(file_path, name, kind, is_exported, start_line, end_line)"""
+)
+def parse_facts(t):
+    from lodegraph.parse.frames import facts, parse
+
+    return facts(parse(_sources(t)), "symbols").select("file_path", "name", "kind", "is_exported", "start_line", "end_line")
+
+
+@query(
+    """SELECT * FROM (VALUES ('User', 'extends', 'Base', false), ('User', 'calls', 'normalize', false), ('create', 'calls', 'User', false), ('create', 'calls', 'normalize', false), ('create', 'refs', 'User', false), ('User', 'refs', 'Base', false),
+('run', 'calls', 'helper', false), ('web/a.ts', 'imports', 'web/b.ts', false), ('web/a.ts', 'imports', 'helper', false)) v(source, kind, target, weak)"""
+)
+def build_graph(t):
+    from lodegraph.plans.build import full
+
+    out = full(_sources(t))
+    n = out["nodes"]
+    named = lambda c: n.select(F.col("node_id").alias(c), F.col("name").alias(f"_{c}"))
+    return out["edges"].join(named("source"), "source").join(named("target"), "target").select(F.col("_source").alias("source"), "kind", F.col("_target").alias("target"), "weak")
+
+
+@query("SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(t):
+    from lodegraph.streaming.watch import event_counts
+
+    return event_counts(t.events).withColumn("total", F.round("total", 4))

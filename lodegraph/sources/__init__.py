@@ -1 +1 @@
-
+"""Readers: source trees, resource files, evaluation sets, settings."""
