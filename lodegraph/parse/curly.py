@@ -13,7 +13,7 @@ LEX = re.compile(
 )
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 #: Words that stand before a parenthesis without being called
-NOT_CALLED = {"if", "for", "while", "switch", "catch", "return", "function", "func", "typeof", "await", "require", "import", "super", "new", "throw", "in", "of", "instanceof", "case", "do", "else", "range", "go", "defer", "select", "make_", "synchronized", "try", "this", "async", "yield", "void", "delete", "constructor"}
+NOT_CALLED = {"if", "for", "while", "switch", "catch", "return", "function", "func", "typeof", "await", "require", "import", "super", "new", "throw", "in", "of", "instanceof", "case", "do", "else", "range", "go", "defer", "select", "var", "const", "type", "struct", "interface", "synchronized", "try", "this", "async", "yield", "void", "delete", "constructor"}
 
 
 class Token(NamedTuple):
