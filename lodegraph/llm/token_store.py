@@ -66,26 +66,30 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, row_gr
     out.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """The store with each document's `start` in the whole stream; selecting columns or doc_ids reads only their pages."""
-    rows = spark.read.schema(SCHEMA).parquet(path)
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row a file
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The store's rows; selecting columns or doc_ids reads only their pages."""
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def with_start(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """Replace part and at, in rows made of the store's, by `start`, the place in the whole stream. Reads two columns of the store."""
+    totals = read_rows(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row a file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
-    return rows.join(base, "part").withColumn("start", F.col("base") + F.col("at")).drop("base")
+    return rows.join(base, "part").withColumn("start", F.col("base") + F.col("at")).drop("base", "part", "at")
 
 
 def checksums(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
+    """doc_id, part, at, n_tokens and the crc32 of the ids as little-endian unsigned 32-bit integers."""
 
     def run(batches):
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(3)
             flat, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
             crc = [zlib.crc32(flat[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "at", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "part", "at", "tokens").mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,4 +97,4 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = shared_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return checksums(read_tokens(spark, path))
+    return with_start(spark, path, checksums(read_rows(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")

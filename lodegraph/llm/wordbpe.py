@@ -32,7 +32,7 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    def __init__(self, path: str, memo_words: int = 600_000):
+    def __init__(self, path: str, memo_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
