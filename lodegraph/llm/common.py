@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodegraph.runtime import checkpoint, checkpoint_root
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["checkpoint", "components", "shared_path", "table"]
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where the session names none."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lodegraph-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return root
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; survives lost executors."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Distributed union-find: (node, root) for every node of the undirected edges (a, b).
 

@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import table
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: bits of the quotient that choose a run; what is left is the remainder
+#: fewest bits of the quotient, which chooses a run; what is left is the remainder
 QUOTIENT_BITS = 12
+#: fingerprints that a merged run is meant to hold
+RUN = 1 << 16
 
 
 def _texts(column) -> list[bytes]:
@@ -88,6 +90,11 @@ def quotient_filters(fps: DataFrame, bits: int = QUOTIENT_BITS) -> DataFrame:
     return fps.mapInArrow(run, "quotient long, remainders binary, counts binary")
 
 
+def quotient_bits(rows: int) -> int:
+    """So many that a run, which one task merges, holds about RUN fingerprints at any size of the corpus."""
+    return max(QUOTIENT_BITS, min(40, (rows // RUN).bit_length()))
+
+
 def repeated(filters: DataFrame, bits: int = QUOTIENT_BITS) -> DataFrame:
     """Merge the filters' runs; fingerprints with a count over one."""
     shift = np.uint64(64 - bits)
@@ -103,7 +110,8 @@ def repeated(filters: DataFrame, bits: int = QUOTIENT_BITS) -> DataFrame:
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    routes = repeated(quotient_filters(fingerprints(docs))).select("fp")
+    bits = quotient_bits(docs.count())  # from the files' metadata
+    routes = repeated(quotient_filters(fingerprints(docs), bits), bits).select("fp")
     routed = digests(docs, True).join(routes, "fp", "left_semi")
     best = F.max_by(F.struct("doc_id", "n_points"), F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63)))))
     verified = routed.groupBy("norm").agg(F.first("text_sha256").alias("text_sha256"), best.alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1")
