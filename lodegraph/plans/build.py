@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +35,11 @@ def edges(parsed: DataFrame, nodes: DataFrame) -> DataFrame:
     symbols = nodes.filter("ordinal >= 0").select("file_path", "name", "node_id", "ordinal", "is_exported", "extends_name", "implements_names")
     imports = facts(parsed, "imports").withColumn("import_id", F.xxhash64("file_path", "module_specifier", "line", "kind"))
     # imports: a relative specifier's file, then its bindings
-    candidates = F.udf(lambda p, s: resolve.import_candidates(p, s), "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def candidates(path: pd.Series, specifier: pd.Series) -> pd.Series:
+        return pd.Series([resolve.import_candidates(p, s) for p, s in zip(path, specifier)], dtype=object)
+
     found = resolve.resolve_imports(imports.select("import_id", candidates("file_path", "module_specifier").alias("candidates")), modules).withColumnRenamed("file_path", "target_path")
     linked = imports.join(found, "import_id")
     to_module = linked.join(modules, "file_path").join(modules.select(F.col("file_path").alias("target_path"), F.col("module").alias("target")), "target_path")
