@@ -598,3 +598,56 @@ def event_windows(t):
     from lodegraph.streaming.watch import event_counts
 
     return event_counts(t.events).withColumn("total", F.round("total", 4))
+
+
+# -- lookups
+
+
+@query(f"WITH {NODES} SELECT node_id, name, kind, start_line FROM nodes WHERE file_id = 205")
+def nodes_of_file(t):
+    from lodegraph.operators import lookup
+
+    return lookup.nodes_of_file(t.nodes(), 205).select("node_id", "name", "kind", "start_line")
+
+
+@query(f"WITH {RES_EDGES} SELECT edge_id, file_id, kind, round(confidence, 6) AS confidence FROM redges WHERE resource_id = 7")
+def links_of_resource(t):
+    from lodegraph.operators import lookup
+
+    return lookup.links_of(_resource_edges(t), "resource_id", 7).select("edge_id", "file_id", "kind", r6("confidence", "confidence"))
+
+
+@query(f"WITH {TEXTS}, {A.bm25(TOKENS)}, ll AS (SELECT id, score FROM bm25 ORDER BY score, id LIMIT 15) SELECT id AS node_id, name, summary, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score, id) - 1 AS INTEGER) AS rank FROM ll JOIN texts USING (id)")
+def fts_node_join(t):
+    from lodegraph.operators import lookup
+
+    return lookup.nodes_by_text(t.texts().withColumnRenamed("id", "node_id"), " ".join(TOKENS), 15).select("node_id", "name", "summary", r6("score", "score"), "rank")
+
+
+@query(f"WITH {EDGES} SELECT source, target FROM edges WHERE kind = 'imports' AND source = {A.PART + 5}")
+def incident_edges(t):
+    return graph.incident(t.edges(), F.lit(A.PART + 5), True, "imports").select("source", "target")
+
+
+@query(f"WITH {EDGES}, {NODES}, w AS (SELECT node_id FROM nodes WHERE file_id IN (203, 305)) SELECT kind, count(*) AS n FROM edges WHERE source IN (SELECT node_id FROM w) OR target IN (SELECT node_id FROM w) GROUP BY 1")
+def slice_edges(t):
+    e = t.edges().select(F.col("source").alias("source_key"), F.col("target").alias("target_key"), "kind")
+    keys = t.nodes().filter(F.col("file_id").isin(203, 305)).select(F.col("node_id").alias("key"))
+    return summary.count_by(inc.slice_edges(e, keys), "kind")
+
+
+@query(f"WITH {STATUS} SELECT id, CASE WHEN id % 4 = 0 THEN 'done' ELSE summary_status END AS summary_status FROM st")
+def set_status(t):
+    s = _status(t)
+    updates = s.filter("id % 4 = 0").select("id", F.lit("done").alias("summary_status"))
+    return inc.set_status(s, updates, "id", "summary_status").select("id", "summary_status")
+
+
+@query("SELECT * FROM (VALUES (1, 'f1', 'done'), (2, NULL, 'error'), (3, 'old', 'done')) v(file_id, file_summary, summary_status)")
+def llm_summaries(t):
+    from lodegraph.plans.enrich import summarize
+
+    files = t.spark.createDataFrame([(1, "a", None, "pending", None), (2, "bad", None, "pending", None), (3, "c", "old", "done", "m")], "file_id long, file_path string, file_summary string, summary_status string, summary_model string")
+    nodes = t.spark.createDataFrame([(1, 1, "x"), (2, 1, "y"), (3, 2, "z")], "node_id long, file_id long, name string").selectExpr("*", "'' AS signature", "'' AS source_code", "1 AS start_line", "CAST(NULL AS STRING) AS summary", "'pending' AS summary_status", "CAST(NULL AS STRING) AS summary_model")
+    ask = lambda p: "nothing" if "File: bad" in p else '{"file_summary": "f1", "nodes": [{"name": "x", "summary": "sx"}]}'
+    return summarize(files, nodes, ask, "m")[0].select("file_id", "file_summary", "summary_status")

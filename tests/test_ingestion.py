@@ -238,3 +238,13 @@ def test_mount_replaces_a_source(spark):
     assert {(r.resource_id, r.file_id, r.kind, r.link_type) for r in once["resource_edges"].collect()} == {(1, 1, "reads", "strong"), (2, 1, "reads", "strong")}
     twice = mount.mount(once, resources.chunk_rows(files, "db"), None)
     assert {r.resource_id for r in twice["resources"].collect()} == {3, 4} and twice["resource_vectors"].count() == 0 and twice["resource_edges"].count() == 0
+
+
+def test_summaries_by_a_model(spark):
+    from lodegraph.plans.enrich import summarize
+
+    files = spark.createDataFrame([(1, "a", None, "pending", None), (2, "bad", None, "pending", None)], "file_id long, file_path string, file_summary string, summary_status string, summary_model string")
+    nodes = spark.createDataFrame([(1, 1, "x"), (2, 1, "y"), (3, 2, "z")], "node_id long, file_id long, name string").selectExpr("*", "'' AS signature", "'' AS source_code", "1 AS start_line", "CAST(NULL AS STRING) AS summary", "'pending' AS summary_status", "CAST(NULL AS STRING) AS summary_model")
+    f, n = summarize(files, nodes, lambda p: "nothing" if "File: bad" in p else '{"file_summary": "f", "nodes": [{"name": "x", "summary": "sx"}]}', "m")
+    assert {(r.file_id, r.file_summary, r.summary_status) for r in f.collect()} == {(1, "f", "done"), (2, None, "error")}
+    assert {(r.name, r.summary, r.summary_status) for r in n.collect()} == {("x", "sx", "done"), ("y", None, "done"), ("z", None, "error")}
