@@ -209,7 +209,8 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_rows: int
                 doc = np.searchsorted(starts, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + doc)), pa.array(h.view(np.int64)), pa.array((at - starts[doc]))], names=["key", "gram", "at"])
 
-    hits = texts.select("key", "text").mapInArrow(places, "key binary, gram long, at long").join(repeated, "gram")
+    # each use of texts takes all its columns, so that they share one exchange
+    hits = texts.mapInArrow(places, "key binary, gram long, at long").join(repeated, "gram")
     hits = hits.groupBy("key").agg(F.collect_list(F.struct("gram", "at", (F.col("n") > shard_rows).alias("hot"))).alias("hits"))
 
     def contexts(batches):
@@ -222,7 +223,7 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_rows: int
                 for col, v in zip(rows, row):
                     col.append(v)
 
-            for key, text, found in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, text, _, found in zip(*(c.to_pylist() for c in batch.columns)):
                 seen: dict[bytes, int] = {}
                 for x in found:
                     at = x["at"]
@@ -251,7 +252,7 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_rows: int
         types = [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["gram", "key", "at", "hot", "left", "right", "end"])
 
-    ctx = texts.select("key", "text").join(hits, "key").select("key", "text", "hits").mapInArrow(contexts, "gram long, key binary, at long, hot boolean, left binary, right binary, end long")
+    ctx = texts.join(hits, "key").select("key", "text", "n", "hits").mapInArrow(contexts, "gram long, key binary, at long, hot boolean, left binary, right binary, end long")
 
     def shards(batches):
         gram_, held = None, []
