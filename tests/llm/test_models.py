@@ -96,13 +96,14 @@ def brute_pack(lengths, sizes):
         fits = [b for b in bins if b[1] - b[2] >= n]
         if fits:
             least = min(b[1] - b[2] for b in fits)
-            b = [x for x in fits if x[1] - x[2] == least][-1]
+            b = max((x for x in fits if x[1] - x[2] == least), key=lambda x: x[3])  # the one used last
         else:
             held = lambda s: n + min(s - n, sum(x for x in lengths[k + 1 :] if x <= s - n))  # noqa: E731, B023
             size = min((packing.cost(s, sizes[-1]) / held(s), s) for s in sizes if s >= n)[1]
-            b = [len(bins), size, 0]
+            b = [len(bins), size, 0, 0]
             bins.append(b)
         b[2] += n
+        b[3] = k
         out.append(b[2])
     return sorted(b[2] for b in bins)
 
