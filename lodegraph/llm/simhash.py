@@ -188,7 +188,8 @@ def near_classes(docs: DataFrame, size: int = 3) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
     ids = fps.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return base.join(ids, "fp").select("doc_id", "fp", "component_id")
+    # a key of its own gives the join its own exchange, whose large partitions can be split
+    return base.withColumn("k", F.hash("fp")).join(ids.withColumn("k", F.hash("fp")), ["k", "fp"]).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
