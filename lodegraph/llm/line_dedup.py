@@ -27,35 +27,28 @@ from lodegraph.llm.common import checkpoint, components, table
 LONG_WORDS = 24
 
 
-def sketch_of(line: Column, size: int) -> Column:
-    words = F.split(line, " ")
-    words = F.when(F.length(line) > LONG_WORDS * F.size(words), F.split(line, "")).otherwise(words)
-    h = F.transform(words, lambda w: F.xxhash64(w))
-    grams = F.zip_with(h, F.slice(h, 2, F.size(h)), lambda a, b: F.xxhash64(a, b))
-    return F.slice(F.array_sort(F.array_distinct(grams)), 1, size)
+def with_sketch(rows: DataFrame, size: int, name: str = "sketch") -> DataFrame:
+    """rows with their line's sketch. One step a projection: an expression that is used twice is a column of its own."""
+    cols = rows.columns
+    rows = rows.withColumn("_w", F.split("line", " "))
+    rows = rows.withColumn("_w", F.when(F.length("line") > LONG_WORDS * F.size("_w"), F.split("line", "")).otherwise(F.col("_w")))
+    rows = rows.select(*cols, F.transform("_w", lambda w: F.xxhash64(w)).alias("_w"))
+    rows = rows.withColumn("_n", F.slice("_w", 2, F.size("_w")))
+    rows = rows.select(*cols, F.zip_with("_w", "_n", lambda a, b: F.xxhash64(a, b)).alias("_w"))
+    return rows.select(*cols, F.slice(F.sort_array(F.array_distinct("_w")), 1, size).alias(name))
 
 
-def bands_of(sketch: Column) -> Column:
-    n = F.size(sketch)
-    pairs = F.zip_with(F.slice(sketch, 1, F.greatest(n - 1, F.lit(1))), F.slice(sketch, 2, F.greatest(n - 1, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    return F.array_distinct(pairs)
+def with_bands(rows: DataFrame) -> DataFrame:
+    """rows (id, sketch) -> (id, band)."""
+    rows = rows.withColumn("_n", F.greatest(F.size("sketch") - 1, F.lit(1)))
+    rows = rows.select("id", F.slice("sketch", F.lit(1), F.col("_n")).alias("_a"), F.slice("sketch", F.lit(2), F.col("_n")).alias("_b"))
+    return rows.select("id", F.explode(F.array_distinct(F.zip_with("_a", "_b", lambda a, b: F.xxhash64(a, b)))).alias("band"))
 
 
-def shingles_of(line: Column, chars: int) -> Column:
-    """Hashes of the line's different `chars`-character shingles (the whole line, if it is shorter); built by doubling."""
-    one = F.split(line, "")
-    out, n = one, 1
-    while n * 2 <= chars:
-        out, n = _joined(out, out, n), n * 2
-    while n < chars:
-        out, n = _joined(out, one, n), n + 1
-    return F.array_distinct(F.transform(F.when(F.size(one) <= chars, F.array(line)).otherwise(out), lambda x: F.xxhash64(x)))
-
-
-def _joined(a: Column, b: Column, n: int) -> Column:
-    """Each item of a with the item of b that starts n characters later."""
-    size = F.greatest(F.size(b) - n, F.lit(0))
-    return F.zip_with(F.slice(a, 1, size), F.slice(b, n + 1, size), lambda x, y: F.concat(x, y))
+def shingles(line: str, chars: int) -> Column:
+    """The line's different `chars`-character shingles (the whole line, if it is shorter), in one pass of a look-ahead."""
+    every = F.regexp_extract_all(F.col(line), F.lit(f"(?s)(?=(.{{{chars}}}))"), F.lit(1))
+    return F.array_distinct(F.when(F.length(line) < chars, F.array(line)).otherwise(every))
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -65,7 +58,7 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def line_links(docs: DataFrame, min_chars: int, sketch: int, chars: int, threshold: float) -> DataFrame:
     """(a, b): ids of lines that are near copies."""
-    rows = occurrences(docs, min_chars).select("id", F.explode(bands_of(sketch_of(F.col("line"), sketch))).alias("band")).distinct()
+    rows = with_bands(with_sketch(occurrences(docs, min_chars).select("id", "line"), sketch).select("id", "sketch")).distinct()
     rows = rows.repartition("band")  # one exchange for the sums and for the join
     ends = rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
     near = rows.join(ends, "band")
@@ -73,14 +66,16 @@ def line_links(docs: DataFrame, min_chars: int, sketch: int, chars: int, thresho
     pairs = checkpoint(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     lines = occurrences(docs, min_chars).select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    lines = lines.withColumn("sk", sketch_of(F.col("line"), 4 * sketch))
-    both = pairs.join(lines.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("sk").alias("sa")), "a").join(lines.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("sk").alias("sb")), "b")
+    lines = with_sketch(lines, 4 * sketch)
+    side = lambda i, x: lines.select(F.col("id").alias(i), F.col("line").alias(f"l{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     # bounds that any pair over the threshold meets: lengths, then a share of common smallest hashes far below what it implies
-    short, long = F.least(F.length("la"), F.length("lb")), F.greatest(F.length("la"), F.length("lb"))
-    both = both.filter(short >= long * (threshold - 0.15)).filter(F.size(F.array_intersect("sa", "sb")) * 5 >= F.least(F.size("sa"), F.size("sb")))
-    both = both.select("a", "b", shingles_of(F.col("la"), chars).alias("x"), shingles_of(F.col("lb"), chars).alias("y"))
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    return both.filter(F.col("i") >= threshold * (F.col("n") - F.col("i"))).select("a", "b")
+    short, long = F.least(F.length("lx"), F.length("ly")), F.greatest(F.length("lx"), F.length("ly"))
+    both = both.filter(short >= long * (threshold - 0.15)).filter(F.size(F.array_intersect("sx", "sy")) * 3 >= F.least(F.size("sx"), F.size("sy")))
+    # the generator keeps the optimizer from moving the filter below the sets, which would make them several times
+    both = both.select("a", "b", F.explode(F.array(F.struct(shingles("lx", chars).alias("x"), shingles("ly", chars).alias("y")))).alias("s"))
+    # i / (n - i) >= t, for i common shingles and n in both sets together
+    return both.filter(F.size(F.array_intersect("s.x", "s.y")) >= threshold / (1 + threshold) * (F.size("s.x") + F.size("s.y")) - 1e-9).select("a", "b")
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 16, sketch: int = 8, chars: int = 5, threshold: float = 0.8) -> DataFrame:
