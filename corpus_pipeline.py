@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import decontaminate, language_id, line_dedup, packing, simhash
+from lodegraph.llm import decontaminate, language_id, line_dedup, near_join, packing
 from lodegraph.llm.common import shared_path, table
 from lodegraph.runtime import ship
 
@@ -26,9 +26,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near copies: shingles of five words."""
+    """Keep one document of each class of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
     ship(spark)
-    return simhash.keep_one(docs, size=5).select(*docs.columns)
+    return near_join.keep_one(docs, size=5, threshold=0.8).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
