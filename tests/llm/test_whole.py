@@ -46,3 +46,11 @@ def test_near_stage_keeps_other_texts_of_a_repeated_id(spark):
     docs = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, None), (None, a)], SCHEMA)
     kept = corpus_pipeline.near_stage(spark, docs, "").collect()
     assert {(r.doc_id, r.text) for r in kept} == {(1, a), (2, b), (3, None), (None, a)} and len(kept) == 4
+
+
+def test_benchmark_stage_drops_a_document_with_one_item(spark, tmp_path):
+    g = random.Random(10)
+    item, text = words(g, 20), words(g, 80)
+    spark.createDataFrame([(1, item), (2, words(g, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, text), (2, f"{text} {item} {text}"), (3, None)], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()) == [1, 3]
