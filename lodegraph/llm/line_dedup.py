@@ -7,7 +7,8 @@
 3. Banding: every two neighbours in the sketch are a band. A band is hit if the two are neighbours in both sketches, with
    probability about J squared; `sketch` - 1 bands give a recall of over 0.98 at a shingle similarity of 0.7.
 4. The lines of a band are candidates with its smallest and its largest line, so a band of n lines makes 2 n pairs, never
-   n squared; what shares no band with a like line but through others is joined by the union-find.
+   n squared. Lines of bands that then still have several classes go through an exact join: prefixes of their
+   `chars`-character shingles, rarest first. So no near copies that share a band are missed.
 5. A pair links if the exact Jaccard similarity of the sets of their `chars`-character shingles is at least `threshold`.
 6. Union-find over links and equal lines; of each class the occurrence with the smallest (doc_id, position) stays.
 
@@ -27,7 +28,7 @@ from lodegraph.llm.common import checkpoint, components, table
 LONG_WORDS = 24
 
 
-def with_sketch(rows: DataFrame, size: int, name: str = "sketch") -> DataFrame:
+def with_sketch(rows: DataFrame, size: int, chars: int = 5, name: str = "sketch") -> DataFrame:
     """rows with their line's sketch. One step a projection: an expression that is used twice is a column of its own."""
     cols = rows.columns
     rows = rows.withColumn("_w", F.split("line", " "))
@@ -52,30 +53,63 @@ def shingles(line: str, chars: int) -> Column:
 
 
 def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Each line that is not blank and has `min_chars` characters without outer white space."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.filter(F.length(F.trim("line")) >= min_chars).withColumn("id", F.xxhash64("line"))
+    return lines.filter((F.length(F.trim("line")) >= min_chars) & F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
+
+
+def lines_of(docs: DataFrame, min_chars: int, ids: DataFrame) -> DataFrame:
+    """(id, line) of each id."""
+    return occurrences(docs, min_chars).select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, min_chars: int, chars: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose lines' sets of shingles are as similar as the threshold."""
+    lines = lines_of(docs, min_chars, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    # the generators keep the optimizer from making the sets several times
+    lines = lines.select("id", "line", F.explode(F.array(F.size(shingles("line", chars)))).alias("n"))
+    side = lambda i, x: lines.select(F.col("id").alias(i), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9)
+    both = both.select("a", "b", "nx", "ny", F.explode(F.array(F.size(F.array_intersect(shingles("lx", chars), shingles("ly", chars))))).alias("i"))
+    # i / (n - i) >= t, for i common shingles and n in both sets together
+    return both.filter(F.col("i") >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-9).select("a", "b")
+
+
+def prefix_pairs(docs: DataFrame, ids: DataFrame, min_chars: int, chars: int, threshold: float) -> DataFrame:
+    """(a, b): all pairs of ids (id, root) of different roots that can meet the threshold, by an exact prefix-filtered join.
+
+    Sets as similar as the threshold share a shingle within their n - ceil(threshold n) + 1 first ones, rarest first.
+    """
+    lines = lines_of(docs, min_chars, ids.select("id"))
+    each = lines.select("id", F.explode(shingles("line", chars)).alias("c")).select("id", F.xxhash64("c").alias("tok"))
+    often = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    per = each.join(often, "tok").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("s"))
+    per = per.withColumn("n", F.size("s")).join(ids, "id")
+    first = F.slice("s", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))
+    rows = checkpoint(per.select("id", "root", "n", F.explode(first).alias("t")).filter("t.df > 1").select("id", "root", "n", "t.tok"))
+    x, y = (rows.select("tok", *[F.col(c).alias(f"{c}{i}") for c in ("id", "root", "n")]) for i in "xy")
+    pairs = x.join(y, "tok").filter("idx < idy AND rootx <> rooty").filter(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9)
+    return pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
 
 
 def line_links(docs: DataFrame, min_chars: int, sketch: int, chars: int, threshold: float) -> DataFrame:
-    """(a, b): ids of lines that are near copies."""
-    rows = with_bands(with_sketch(occurrences(docs, min_chars).select("id", "line"), sketch).select("id", "sketch")).distinct()
+    """(a, b): ids of lines that are near copies; their components are those of all near copies that share a band."""
+    rows = with_bands(with_sketch(occurrences(docs, min_chars).select("id", "line"), sketch, chars).select("id", "sketch")).distinct()
     rows = rows.repartition("band")  # one exchange for the sums and for the join
     ends = rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    near = rows.join(ends, "band")
+    near = checkpoint(rows.join(ends, "band"))
     pairs = near.select(F.col("id").alias("x"), F.explode(F.array("low", "high")).alias("y")).filter("x <> y")
     pairs = checkpoint(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    lines = occurrences(docs, min_chars).select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    lines = with_sketch(lines, 4 * sketch)
-    side = lambda i, x: lines.select(F.col("id").alias(i), F.col("line").alias(f"l{x}"), F.col("sketch").alias(f"s{x}"))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    # bounds that any pair over the threshold meets: lengths, then a share of common smallest hashes far below what it implies
-    short, long = F.least(F.length("lx"), F.length("ly")), F.greatest(F.length("lx"), F.length("ly"))
-    both = both.filter(short >= long * (threshold - 0.15)).filter(F.size(F.array_intersect("sx", "sy")) * 3 >= F.least(F.size("sx"), F.size("sy")))
-    # the generator keeps the optimizer from moving the filter below the sets, which would make them several times
-    both = both.select("a", "b", F.explode(F.array(F.struct(shingles("lx", chars).alias("x"), shingles("ly", chars).alias("y")))).alias("s"))
-    # i / (n - i) >= t, for i common shingles and n in both sets together
-    return both.filter(F.size(F.array_intersect("s.x", "s.y")) >= threshold / (1 + threshold) * (F.size("s.x") + F.size("s.y")) - 1e-9).select("a", "b")
+    found = checkpoint(verified(docs, pairs, min_chars, chars, threshold))
+    # what is left: lines of bands that have more than one class besides their smallest and largest line
+    tops = components(found).select(F.col("node").alias("id"), "root")
+    rest = near.filter("id <> low AND id <> high").join(tops, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rest.groupBy("band").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("band")
+    rest = checkpoint(rest.join(mixed, "band", "left_semi").select("id", "root").distinct())
+    if rest.isEmpty():
+        return found
+    more = checkpoint(prefix_pairs(docs, rest, min_chars, chars, threshold))
+    return found.union(verified(docs, more, min_chars, chars, threshold))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 16, sketch: int = 8, chars: int = 5, threshold: float = 0.8) -> DataFrame:

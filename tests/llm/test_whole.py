@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lodegraph.llm import near_join
+from lodegraph.llm import common, line_dedup, near_join
 from tests.llm.fixtures import words
 
 SCHEMA = "doc_id long, text string"
@@ -54,3 +54,23 @@ def test_benchmark_stage_drops_a_document_with_one_item(spark, tmp_path):
     spark.createDataFrame([(1, item), (2, words(g, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, text), (2, f"{text} {item} {text}"), (3, None)], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
+def joined(spark, pairs):
+    docs = spark.createDataFrame([(i, x) for i, p in enumerate(pairs) for x in p], SCHEMA)
+    ids = {r.line: r.id for r in line_dedup.occurrences(docs, 5).collect()}
+    root = {r.node: r.root for r in common.components(line_dedup.line_links(docs, 5, 8, 5, 0.8)).collect()}
+    return sum(root.get(ids[a], ids[a]) == root.get(ids[b], ids[b]) for a, b in pairs) / len(pairs)
+
+
+def changed(g, x):
+    i = g.randrange(len(x))
+    return x[:i] + "#" + x[i + 1 :]
+
+
+def test_lines_of_a_template_meet_their_near_copies(spark):
+    g = random.Random(11)
+    fixed = words(g, 30).replace("éa", "ea")
+    lines = [fixed + " " + words(g, 6) for _ in range(150)]
+    pairs = [(x, changed(g, x)) for x in lines]
+    assert joined(spark, pairs) == 1
