@@ -1,11 +1,11 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions alone: of lines that are near copies, one stays in the corpus.
 
 1. Lines of at least `min_chars` characters (without outer white space) take part; others stay as they are.
-2. Signature: a line's shingles are the runs of characters from a word's start to the next word's end (single characters
-   stand for words where words are very long, as in scripts without spaces); the `sketch` smallest of their hashes are
-   its MinHash sketch (bottom-k).
+2. Signature: the `sketch` smallest hashes of a line's shingles (bottom-k MinHash). Lines of at least 12 words have
+   the runs of characters from a word's start to the next word's end as shingles; lines of fewer words, or of very long
+   ones, as in scripts without spaces, have their `chars`-character shingles and twice as many hashes.
 3. Banding: every two neighbours in the sketch are a band. A band is hit if the two are neighbours in both sketches, with
-   probability about J squared; `sketch` - 1 bands give a recall of over 0.98 at a shingle similarity of 0.7.
+   probability about J squared for signature shingles of similarity J. README has the recall measured by line length.
 4. The lines of a band are candidates with its smallest and its largest line, so a band of n lines makes 2 n pairs, never
    n squared. Lines of bands that then still have several classes go through an exact join: prefixes of their
    `chars`-character shingles, rarest first. So no near copies that share a band are missed.
@@ -24,19 +24,26 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.common import checkpoint, components, table
 
-#: mean length of words over which single characters stand for words
-LONG_WORDS = 24
+#: number of words under which, and mean length of words over which, signatures are of characters; and how far from
+#: there lines have both signatures, so that near copies on either side meet
+FEW_WORDS, LONG_WORDS, BETWEEN = 12, 24, 4
 
 
 def with_sketch(rows: DataFrame, size: int, chars: int = 5, name: str = "sketch") -> DataFrame:
-    """rows with their line's sketch. One step a projection: an expression that is used twice is a column of its own."""
+    """rows with their line's sketch. One step a projection: an expression that is used twice is a column of its own.
+
+    Lines of few or very long words have a sketch of characters, others one of words; between, a line has a row of each.
+    """
     cols = rows.columns
     rows = rows.withColumn("_w", F.split("line", " "))
-    rows = rows.withColumn("_w", F.when(F.length("line") > LONG_WORDS * F.size("_w"), F.split("line", "")).otherwise(F.col("_w")))
-    rows = rows.select(*cols, F.transform("_w", lambda w: F.xxhash64(w)).alias("_w"))
+    words = (F.size("_w") >= FEW_WORDS) & (F.length("line") <= LONG_WORDS * F.size("_w"))
+    letters = (F.size("_w") < FEW_WORDS + BETWEEN) | (F.length("line") > (LONG_WORDS - BETWEEN) * F.size("_w"))
+    by_chars = rows.filter(letters).select(*cols, F.transform(shingles("line", chars), lambda x: F.xxhash64(x)).alias("_w"))
+    by_chars = by_chars.select(*cols, F.slice(F.sort_array(F.array_distinct("_w")), 1, 2 * size).alias(name))
+    rows = rows.filter(words).select(*cols, F.transform("_w", lambda w: F.xxhash64(w)).alias("_w"))
     rows = rows.withColumn("_n", F.slice("_w", 2, F.size("_w")))
     rows = rows.select(*cols, F.zip_with("_w", "_n", lambda a, b: F.xxhash64(a, b)).alias("_w"))
-    return rows.select(*cols, F.slice(F.sort_array(F.array_distinct("_w")), 1, size).alias(name))
+    return by_chars.union(rows.select(*cols, F.slice(F.sort_array(F.array_distinct("_w")), 1, size).alias(name)))
 
 
 def with_bands(rows: DataFrame) -> DataFrame:

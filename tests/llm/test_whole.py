@@ -74,3 +74,12 @@ def test_lines_of_a_template_meet_their_near_copies(spark):
     lines = [fixed + " " + words(g, 6) for _ in range(150)]
     pairs = [(x, changed(g, x)) for x in lines]
     assert joined(spark, pairs) == 1
+
+
+def test_lines_of_few_words_meet_their_near_copies(spark):
+    g = random.Random(12)
+    name = lambda n: " ".join("".join(chr(97 + g.randrange(26)) for _ in range(9)) for _ in range(n))
+    pairs = [(x + "1", x + "2") for x in (name(2 + i % 4) for i in range(200))]
+    assert joined(spark, pairs) >= 0.95
+    assert joined(spark, [("International Documentation Version1", "International Documentation Version2")]) == 1
+    assert joined(spark, [("-" * 40, "-" * 80)]) == 1
