@@ -1,6 +1,7 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions alone: of lines that are near copies, one stays in the corpus.
 
-1. Lines of at least `min_chars` characters (without outer white space) take part; others stay as they are.
+1. Every line that is not blank takes part. Lines of less than `min_chars` characters (without outer white space), by
+   default the length of a shingle, match equal lines only; blank lines stay as they are.
 2. Signature: the `sketch` smallest hashes of a line's shingles (bottom-k MinHash). Lines of at least 12 words have
    the runs of characters from a word's start to the next word's end as shingles; lines of fewer words, or of very long
    ones, as in scripts without spaces, have their `chars`-character shingles and twice as many hashes.
@@ -119,10 +120,10 @@ def line_links(docs: DataFrame, min_chars: int, sketch: int, chars: int, thresho
     return found.union(verified(docs, more, min_chars, chars, threshold))
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = 16, sketch: int = 8, chars: int = 5, threshold: float = 0.8) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = 5, sketch: int = 8, chars: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, _h, drop): the places of the lines that go, for each text that loses any; _h is the text's hash."""
     classes = components(line_links(docs, min_chars, sketch, chars, threshold)).select(F.col("node").alias("id"), "root")
-    occ = occurrences(docs, min_chars).select("doc_id", "_h", "pos", "id", F.xxhash64(F.lit(1), "line").alias("other"))
+    occ = occurrences(docs, 1).select("doc_id", "_h", "pos", "id", F.xxhash64(F.lit(1), "line").alias("other"))
     occ = occ.join(classes, "id", "left").select("doc_id", "_h", "pos", F.when(F.col("root").isNull(), F.xxhash64("id", "other")).otherwise(F.xxhash64("root")).alias("cls"))
     first = occ.groupBy("cls").agg(F.min(F.struct("doc_id", "pos", "_h")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # a key of its own gives the join its own exchange, whose large partitions can be split

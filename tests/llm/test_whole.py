@@ -83,3 +83,8 @@ def test_lines_of_few_words_meet_their_near_copies(spark):
     assert joined(spark, pairs) >= 0.95
     assert joined(spark, [("International Documentation Version1", "International Documentation Version2")]) == 1
     assert joined(spark, [("-" * 40, "-" * 80)]) == 1
+
+
+def test_equal_short_lines_are_one(spark):
+    docs = spark.createDataFrame([(1, "Ende.\nab\n\n \t"), (2, "Ende.\nab\nx\n\n \t")], SCHEMA)
+    assert {(r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()} == {(1, "Ende.\nab\n\n \t"), (2, "x\n\n \t")}
