@@ -4,7 +4,7 @@ Candidates are runs of token characters with letters and digits and at least `MI
 a word like password or token. The forest (forest.py) sees a candidate's length, its characters and the transitions
 between their kinds, how much of it a dictionary covers, its path (the source) and the words beside it. It is trained
 from labelled findings: (before, value, after, path, label) tuples, the caller's or the generated ones of `labelled`.
-The dictionary has the most frequent words of a bounded sample of documents (`DICTIONARY_DOCS`).
+The dictionary has the `DICTIONARY_WORDS` most frequent words of all documents.
 
 Places are UTF-8 bytes. Null text has no findings, a null path is an empty one. Every row is scanned, repeated rows,
 too. Overlapping candidates are one, the longer. An empty table gives an empty result. Other columns are ignored.
@@ -27,7 +27,7 @@ from lodegraph.llm.common import table
 from lodegraph.llm.forest import Forest
 
 MIN_RUN, CONTEXT = 14, 60
-DICTIONARY_DOCS, DICTIONARY_WORDS = 400, 3000
+DICTIONARY_WORDS = 3000
 #: How well-known credentials begin, words beside secrets, words beside look-alikes, paths of examples
 PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"xoxb-", b"xoxp-", b"sk-", b"sk_live_", b"AIza", b"eyJ", b"glpat-", b"npm_")
 BESIDE = re.compile(rb"(?i)password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth")
@@ -139,10 +139,9 @@ def labelled(n: int = 700, seed: int = 3) -> list[tuple[bytes, bytes, bytes, str
     return out
 
 
-def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS, sample: int = DICTIONARY_DOCS) -> frozenset[bytes]:
-    """The most frequent words of 4 to 14 letters in the `sample` documents with the least hashes of their ids."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    each = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,14}\b"), F.lit(0))).alias("w"))
+def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> frozenset[bytes]:
+    """The most frequent words of 4 to 14 letters in all documents; partial counts are made before the shuffle."""
+    each = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{4,14}\b"), F.lit(0))).alias("w"))
     return frozenset(r["w"].encode() for r in each.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).collect())
 
 

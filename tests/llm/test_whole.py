@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lodegraph.llm import common, line_dedup, near_join
+from lodegraph.llm import common, line_dedup, near_join, secret_scan
 from tests.llm.fixtures import words
 
 SCHEMA = "doc_id long, text string"
@@ -56,6 +56,13 @@ def test_benchmark_stage_drops_a_document_with_one_item(spark, tmp_path):
     assert sorted(r.doc_id for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()) == [1, 3]
 
 
+def test_dictionary_counts_the_words_of_all_documents(spark):
+    name = lambda i: "word" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    docs = spark.createDataFrame([(i, f"{name(i)} common {name(i).upper()}") for i in range(900)] + [(900, None)], SCHEMA)
+    assert secret_scan.dictionary(docs) == {b"common"} | {name(i).encode() for i in range(900)}
+    assert secret_scan.dictionary(docs, 1) == {b"common"}
+
+
 def joined(spark, pairs):
     docs = spark.createDataFrame([(i, x) for i, p in enumerate(pairs) for x in p], SCHEMA)
     ids = {r.line: r.id for r in line_dedup.occurrences(docs, 5).collect()}
