@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.runtime import checkpoint, checkpoint_root
 
-__all__ = ["checkpoint", "components", "shared_path", "table"]
+__all__ = ["checkpoint", "components", "is_small", "shared_path", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,24 +20,46 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether df has at most so many rows: the check before a broadcast."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Distributed union-find: (node, root) for every node of the undirected edges (a, b).
 
     Alternates a large-star step (every node hands its larger neighbours its smallest one) and a small-star step
     (smaller neighbours meet at the smallest) until no edge changes; every round is two aggregations over the
-    edges, with no group of neighbours collected. Roots are the smallest node of their component.
+    edges, with no group of neighbours collected. Roots are the smallest node of their component. A node with very many
+    neighbours is one key of a round's joins, which have exchanges of their own, so that its rows can be split.
     """
     e = edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpoint(e)
     before = None
+
+    def beside(rows: DataFrame, low: DataFrame) -> DataFrame:
+        return rows.withColumn("k", F.hash("u")).join(low.withColumn("k", F.hash("u")), ["k", "u"]).drop("k")
+
     for _ in range(max_rounds):
         # large star
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        big = beside(both, low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star
         low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = beside(big, low).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = checkpoint(small.filter("u <> v").distinct())
         now = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

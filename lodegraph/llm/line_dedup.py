@@ -1,95 +1,125 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions alone: of lines that are near copies, one stays in the corpus.
 
-1. Every line that is not blank takes part. Lines of less than `min_chars` characters (without outer white space), by
-   default the length of a shingle, match equal lines only; blank lines stay as they are.
-2. Signature: the `sketch` smallest hashes of a line's shingles (bottom-k MinHash). Lines of at least 12 words have
-   the runs of characters from a word's start to the next word's end as shingles; lines of fewer words, or of very long
-   ones, as in scripts without spaces, have their `chars`-character shingles and twice as many hashes.
-3. Banding: every two neighbours in the sketch are a band. A band is hit if the two are neighbours in both sketches, with
-   probability about J squared for signature shingles of similarity J. README has the recall measured by line length.
-4. The lines of a band are candidates with its smallest and its largest line, so a band of n lines makes 2 n pairs, never
-   n squared. Lines of bands that then still have several classes go through an exact join: prefixes of their
-   `chars`-character shingles, rarest first. So no near copies that share a band are missed.
-5. A pair links if the exact Jaccard similarity of the sets of their `chars`-character shingles is at least `threshold`.
-6. Union-find over links and equal lines; of each class the occurrence with the smallest (doc_id, position) stays.
+Lines are similar as the sets of their `chars`-character shingles are (exact Jaccard; a line shorter than a shingle is
+one shingle; characters are UTF-16 code units). Two lines whose similarity is at least `threshold` are near copies.
+
+1. Every line that is not blank takes part, at every length; blank lines stay as they are.
+2. Signature: `bands` times `rows` MinHash values over the line's runs of `run` characters (the whole line if it is
+   shorter), a minimum of one hash function each, made by generated code over exploded positions and aggregation. Lines
+   of at most `SHORT` characters have a second one over runs of `chars` characters.
+3. Banding: the `rows` values of a band are its key. Lines that share a band are candidates if at least `AGREE` of 64
+   two-bit digests of further MinHash values agree, which only lines that share a band have. Near copies whose similarity
+   by runs is s share a band with probability 1 - (1 - s^rows)^bands; README has the recall measured by line length.
+4. Every line of a band is compared with the band's smallest one. Bands whose lines are then still in several classes
+   are examined in full: all pairs of different classes where a band has at most `SMALL_BAND` lines, and otherwise an
+   exact join over prefixes of the lines' shingle sets, rarest shingles first. No candidates stay unexamined.
+5. A pair links by the exact Jaccard similarity of its two sets.
+6. Union-find over links; of each class, and of equal lines, the occurrence with the smallest (doc_id, position) stays.
 
 Null text has no lines and stays null. Rows that repeat both doc_id and text are one row's worth: each keeps what the
 first keeps. Null doc_ids come first. A text whose lines all go becomes empty. n_chars, where present, is recounted.
-Other columns pass through; columns named like the new ones are replaced. An empty table gives an empty result.
+Other columns pass through; columns named n_lines or n_dropped are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import checkpoint, components, table
+from lodegraph.llm.common import checkpoint, components, is_small, table, unused
 
-#: number of words under which, and mean length of words over which, signatures are of characters; and how far from
-#: there lines have both signatures, so that near copies on either side meet
-FEW_WORDS, LONG_WORDS, BETWEEN = 12, 24, 4
+#: lines of a band up to which its pairs are made one by one
+SMALL_BAND = 1000
+#: characters up to which a line has a second signature, of shorter runs
+SHORT = 64
+#: ids that may be broadcast to find their lines (16 bytes each); beyond, lines are shuffled to them
+BROADCAST_IDS = 1_000_000
+#: of 64 digests, those that agree in candidates; three in four are expected to where isolated changes leave a similarity of 0.8
+AGREE = 40
+#: positions of one block of a long line, in bytes of UTF-16
+BLOCK = 1 << 16
+BLANKS = " \t\x0b\f\r"
 
 
-def with_sketch(rows: DataFrame, size: int, chars: int = 5, name: str = "sketch") -> DataFrame:
-    """rows with their line's sketch. One step a projection: an expression that is used twice is a column of its own.
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, doc, pos, line, id) of each line that is not blank; doc is the hash of its doc_id and text, id of the line."""
+    lines = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.filter(F.btrim("line", F.lit(BLANKS)) != "").withColumn("id", F.xxhash64("line"))
 
-    Lines of few or very long words have a sketch of characters, others one of words; between, a line has a row of each.
-    """
-    cols = rows.columns
-    rows = rows.withColumn("_w", F.split("line", " "))
-    words = (F.size("_w") >= FEW_WORDS) & (F.length("line") <= LONG_WORDS * F.size("_w"))
-    letters = (F.size("_w") < FEW_WORDS + BETWEEN) | (F.length("line") > (LONG_WORDS - BETWEEN) * F.size("_w"))
-    by_chars = rows.filter(letters).select(*cols, F.transform(shingles("line", chars), lambda x: F.xxhash64(x)).alias("_w"))
-    by_chars = by_chars.select(*cols, F.slice(F.sort_array(F.array_distinct("_w")), 1, 2 * size).alias(name))
-    rows = rows.filter(words).select(*cols, F.transform("_w", lambda w: F.xxhash64(w)).alias("_w"))
-    rows = rows.withColumn("_n", F.slice("_w", 2, F.size("_w")))
-    rows = rows.select(*cols, F.zip_with("_w", "_n", lambda a, b: F.xxhash64(a, b)).alias("_w"))
-    return by_chars.union(rows.select(*cols, F.slice(F.sort_array(F.array_distinct("_w")), 1, size).alias(name)))
-
-
-def with_bands(rows: DataFrame) -> DataFrame:
-    """rows (id, sketch) -> (id, band)."""
-    rows = rows.withColumn("_n", F.greatest(F.size("sketch") - 1, F.lit(1)))
-    rows = rows.select("id", F.slice("sketch", F.lit(1), F.col("_n")).alias("_a"), F.slice("sketch", F.lit(2), F.col("_n")).alias("_b"))
-    return rows.select("id", F.explode(F.array_distinct(F.zip_with("_a", "_b", lambda a, b: F.xxhash64(a, b)))).alias("band"))
-
-
-def shingles(line: str, chars: int) -> Column:
-    """The line's different `chars`-character shingles (the whole line, if it is shorter), in one pass of a look-ahead."""
-    every = F.regexp_extract_all(F.col(line), F.lit(f"(?s)(?=(.{{{chars}}}))"), F.lit(1))
-    return F.array_distinct(F.when(F.length(line) < chars, F.array(line)).otherwise(every))
-
-
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """Each line that is not blank and has `min_chars` characters without outer white space."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.filter((F.length(F.trim("line")) >= min_chars) & F.col("line").rlike(r"\S")).withColumn("id", F.xxhash64("line"))
-
-
-def lines_of(docs: DataFrame, min_chars: int, ids: DataFrame) -> DataFrame:
-    """(id, line) of each id."""
-    return occurrences(docs, min_chars).select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-
-
-def verified(docs: DataFrame, pairs: DataFrame, min_chars: int, chars: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose lines' sets of shingles are as similar as the threshold."""
-    lines = lines_of(docs, min_chars, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    # the generators keep the optimizer from making the sets several times
-    lines = lines.select("id", "line", F.explode(F.array(F.size(shingles("line", chars)))).alias("n"))
-    side = lambda i, x: lines.select(F.col("id").alias(i), F.col("line").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9)
-    both = both.select("a", "b", "nx", "ny", F.explode(F.array(F.size(F.array_intersect(shingles("lx", chars), shingles("ly", chars))))).alias("i"))
-    # i / (n - i) >= t, for i common shingles and n in both sets together
+
+def minima(lines: DataFrame, run: int, first: int, n: int) -> DataFrame:
+    """(id, m0, m1, ...): n MinHash values, from hash function `first` on, over the runs of `run` characters of (id, line)."""
+    wide = lines.select("id", F.encode("line", "UTF-16BE").alias("b"))
+    wide = wide.select("id", "b", F.greatest(F.octet_length("b") - F.lit(2 * run - 1), F.lit(1)).alias("last"))
+    wide = wide.select("id", "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(BLOCK))).alias("start"))
+    each = wide.select("id", "b", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + (BLOCK - 2), F.col("last")), F.lit(2))).alias("at"))
+    each = each.select("id", F.xxhash64(F.substring("b", F.col("at"), F.lit(2 * run))).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"))
+    # the hash that is next to a point, by XOR: every hash of two lines together is as likely to be it
+    points = [(j * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF for j in range(first, first + n)]
+    return each.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(points)])
+
+
+def band_keys(lines: DataFrame, chars: int, run: int, bands: int, rows: int) -> DataFrame:
+    """(id, band) from (id, line): the keys of each line's bands."""
+    keys = lambda r: F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(k), *[f"m{j}" for j in range(k * rows, (k + 1) * rows)]) for k in range(bands)])).alias("band")
+    short = minima(lines.filter(F.length("line") <= SHORT), chars, 0, bands * rows)
+    return minima(lines, run, 0, bands * rows).select("id", keys(run)).union(short.select("id", keys(chars)))
+
+
+MARKS = ("d0", "d1", "s0", "s1")
+
+
+def digests(lines: DataFrame, chars: int, run: int, first: int) -> DataFrame:
+    """(id, d0, d1, s0, s1): two bits of each of 64 MinHash values; s of runs of `chars` characters, for short lines only."""
+    pack = lambda k: reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{32 * k + j}").bitwiseAND(F.lit(3).cast("long")), 2 * j) for j in range(32)])
+    short = minima(lines.filter(F.length("line") <= SHORT), chars, first, 64).select("id", pack(0).alias("s0"), pack(1).alias("s1"))
+    return minima(lines, run, first, 64).select("id", pack(0).alias("d0"), pack(1).alias("d1")).join(short, "id", "left")
+
+
+def agree(x: str, y: str) -> Column:
+    """Whether enough digests of the two sides are the same."""
+
+    def differ(c: str) -> Column:
+        bits = F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))
+        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    return (differ("d0") + differ("d1") <= 64 - AGREE) | F.coalesce(differ("s0") + differ("s1") <= 64 - AGREE, F.lit(False))
+
+
+def shingles(line: Column | str, chars: int) -> Column:
+    """The hashes of a line's different shingles."""
+    wide = lambda b: F.sequence(F.lit(1), F.greatest(F.octet_length(b) - F.lit(2 * chars - 1), F.lit(1)), F.lit(2))
+    # the outer transform binds the encoded line, which the inner one would make anew at each place
+    each = F.transform(F.array(F.encode(line, "UTF-16BE")), lambda b: F.transform(wide(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * chars)))))
+    return F.array_distinct(F.element_at(each, 1))
+
+
+def lines_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, line) of each id, once."""
+    ids = F.broadcast(ids) if is_small(ids, BROADCAST_IDS) else ids
+    return occurrences(docs).select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+
+
+def verified(lines: DataFrame, pairs: DataFrame, chars: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose lines are near copies."""
+    side = lambda i, x: lines.select(F.col("id").alias(i), F.col("line").alias(x))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    # the generator keeps the optimizer from making the sets several times
+    both = both.select("a", "b", F.explode(F.array(F.struct(shingles("x", chars).alias("x"), shingles("y", chars).alias("y")))).alias("s"))
+    both = both.select("a", "b", F.size("s.x").alias("nx"), F.size("s.y").alias("ny"), F.size(F.array_intersect("s.x", "s.y")).alias("i"))
+    # i / (nx + ny - i) >= t
     return both.filter(F.col("i") >= threshold / (1 + threshold) * (F.col("nx") + F.col("ny")) - 1e-9).select("a", "b")
 
 
-def prefix_pairs(docs: DataFrame, ids: DataFrame, min_chars: int, chars: int, threshold: float) -> DataFrame:
+def prefix_pairs(lines: DataFrame, ids: DataFrame, chars: int, threshold: float) -> DataFrame:
     """(a, b): all pairs of ids (id, root) of different roots that can meet the threshold, by an exact prefix-filtered join.
 
     Sets as similar as the threshold share a shingle within their n - ceil(threshold n) + 1 first ones, rarest first.
     """
-    lines = lines_of(docs, min_chars, ids.select("id"))
-    each = lines.select("id", F.explode(shingles("line", chars)).alias("c")).select("id", F.xxhash64("c").alias("tok"))
+    lines = lines.join(ids.select("id"), "id", "left_semi")
+    each = lines.select("id", F.explode(shingles("line", chars)).alias("tok"))
     often = each.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
     per = each.join(often, "tok").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("s"))
     per = per.withColumn("n", F.size("s")).join(ids, "id")
@@ -100,53 +130,61 @@ def prefix_pairs(docs: DataFrame, ids: DataFrame, min_chars: int, chars: int, th
     return pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
 
 
-def line_links(docs: DataFrame, min_chars: int, sketch: int, chars: int, threshold: float) -> DataFrame:
-    """(a, b): ids of lines that are near copies; their components are those of all near copies that share a band."""
-    rows = with_bands(with_sketch(occurrences(docs, min_chars).select("id", "line"), sketch, chars).select("id", "sketch")).distinct()
-    rows = rows.repartition("band")  # one exchange for the sums and for the join
-    ends = rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high")
-    near = checkpoint(rows.join(ends, "band"))
-    pairs = near.select(F.col("id").alias("x"), F.explode(F.array("low", "high")).alias("y")).filter("x <> y")
-    pairs = checkpoint(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    found = checkpoint(verified(docs, pairs, min_chars, chars, threshold))
-    # what is left: lines of bands that have more than one class besides their smallest and largest line
+def line_links(docs: DataFrame, chars: int, threshold: float, run: int, bands: int, rows: int) -> DataFrame:
+    """(a, b): ids of lines that are near copies; their components are those of all links between candidates."""
+    keys = band_keys(occurrences(docs).select("id", "line"), chars, run, bands, rows).repartition("band")  # one exchange for the sums and the join
+    ends = keys.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("band", "low")
+    near = checkpoint(keys.join(ends, "band").select("band", "id", "low"))
+    lines = checkpoint(lines_of(docs, checkpoint(near.select("id").distinct())))
+    marks = checkpoint(digests(lines, chars, run, bands * rows))
+    mark = lambda x: marks.select(F.col("id").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in MARKS])
+    pairs = near.filter("id <> low").select(F.col("id").alias("idx"), F.col("low").alias("idy")).distinct()
+    pairs = pairs.join(mark("x"), "idx").join(mark("y"), "idy").filter(agree("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    found = checkpoint(verified(lines, checkpoint(pairs), chars, threshold))
+    # what is left: lines of bands that have more than one class besides their smallest line
     tops = components(found).select(F.col("node").alias("id"), "root")
-    rest = near.filter("id <> low AND id <> high").join(tops, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
-    mixed = rest.groupBy("band").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("band")
-    rest = checkpoint(rest.join(mixed, "band", "left_semi").select("id", "root").distinct())
+    rest = near.filter("id <> low").join(tops, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    mixed = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("band", "n")
+    rest = checkpoint(rest.join(mixed, "band").join(marks, "id"))
     if rest.isEmpty():
         return found
-    more = checkpoint(prefix_pairs(docs, rest, min_chars, chars, threshold))
-    return found.union(verified(docs, more, min_chars, chars, threshold))
-
-
-def dropped_lines(docs: DataFrame, min_chars: int = 5, sketch: int = 8, chars: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, _h, drop): the places of the lines that go, for each text that loses any; _h is the text's hash."""
-    classes = components(line_links(docs, min_chars, sketch, chars, threshold)).select(F.col("node").alias("id"), "root")
-    occ = occurrences(docs, 1).select("doc_id", "_h", "pos", "id", F.xxhash64(F.lit(1), "line").alias("other"))
-    occ = occ.join(classes, "id", "left").select("doc_id", "_h", "pos", F.when(F.col("root").isNull(), F.xxhash64("id", "other")).otherwise(F.xxhash64("root")).alias("cls"))
-    first = occ.groupBy("cls").agg(F.min(F.struct("doc_id", "pos", "_h")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    side = lambda df, x, *more: df.select(*more, *[F.col(c).alias(f"{c}{x}") for c in ("id", "root", *MARKS)])
+    small = rest.filter(F.col("n") <= SMALL_BAND)
+    x, y = side(small, "x", F.col("band").alias("bx")), side(small, "y", F.col("band").alias("by"))
+    more = x.join(y, (F.col("bx") == F.col("by")) & (F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")) & agree("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    large = checkpoint(rest.filter(F.col("n") > SMALL_BAND).select("id", "root").distinct())
+    if not large.isEmpty():
+        wide = prefix_pairs(lines, large, chars, threshold).select(F.col("a").alias("idx"), F.col("b").alias("idy"))
+        more = more.union(wide.join(mark("x"), "idx").join(mark("y"), "idy").filter(agree("x", "y")).select("idx", "idy"))
+    return found.union(checkpoint(verified(lines, checkpoint(more.distinct()), chars, threshold)))
+
+
+def dropped_lines(docs: DataFrame, chars: int = 5, threshold: float = 0.8, run: int = 9, bands: int = 8, rows: int = 3) -> DataFrame:
+    """(doc_id, doc, gone): the places of the lines that go, for each text that loses any; doc is the hash of its doc_id and text."""
+    classes = components(line_links(docs, chars, threshold, run, bands, rows)).select(F.col("node").alias("id"), "root")
+    occ = occurrences(docs).join(classes, "id", "left").select("doc_id", "doc", "pos", F.coalesce("root", "id").alias("cls"))
+    first = occ.groupBy("cls").agg(F.min(F.struct("doc_id", "pos", "doc")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # a key of its own gives the join its own exchange, whose large partitions can be split
-    first = first.select(F.hash("cls").alias("k"), F.col("cls").alias("c"), "first")
-    occ = occ.withColumn("k", F.hash("cls"))
-    gone = occ.join(first, (occ["k"] == first["k"]) & (occ["cls"] == first["c"])).filter(~F.struct("doc_id", "pos", "_h").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "_h").agg(F.collect_set("pos").alias("drop"))
+    first = first.select(F.hash("cls").alias("k"), "cls", "first")
+    rest = occ.withColumn("k", F.hash("cls")).join(first, ["k", "cls"]).filter(~F.struct("doc_id", "pos", "doc").eqNullSafe(F.col("first")))
+    return rest.groupBy("doc_id", "doc").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """The columns of docs, with text without its dropped lines, and n_lines and n_dropped."""
-    gone = dropped_lines(docs.select("doc_id", "text"), **options).select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "drop")
-    docs = docs.drop("n_lines", "n_dropped").withColumn("_h", F.xxhash64("text"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left")
+    docs = docs.drop("n_lines", "n_dropped")
+    doc, key, other, gone = unused(docs, "doc", "key", "other", "gone")
+    drop = dropped_lines(docs.select("doc_id", "text"), **options).select(F.col("doc_id").alias(other), F.col("doc").alias(key), F.col("gone").alias(gone))
+    out = docs.withColumn(doc, F.xxhash64("doc_id", "text")).join(drop, (F.col(doc) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(other)), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept)
-    cols = {c: F.col(c) for c in docs.columns if c != "_h"} | {"text": text}
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept)
+    cols = {c: F.col(c) for c in docs.columns} | {"text": text}
     if "n_chars" in cols:
-        cols["n_chars"] = F.when(F.col("drop").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[c.alias(n) for n, c in cols.items()], F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
+        cols["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[c.alias(n) for n, c in cols.items()], F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_dropped")).cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -149,8 +149,8 @@ def test_line_links_have_high_recall_and_are_exact(spark):
                 y[g.randrange(len(y))] = g.choice("xyz")
             lines.append("".join(y))
     docs = frame(spark, [(i, x) for i, x in enumerate(lines)])
-    ids = {r.id: r.line for r in line_dedup.occurrences(docs, 16).collect()}
-    edges = line_dedup.line_links(docs, 16, 8, 5, 0.8)
+    ids = {r.id: r.line for r in line_dedup.occurrences(docs).collect()}
+    edges = line_dedup.line_links(docs, 5, 0.8, 9, 8, 3)
     for r in edges.collect():
         assert jaccard(ids[r.a], ids[r.b]) >= 0.8
     root = {r.node: r.root for r in common.components(edges).collect()}

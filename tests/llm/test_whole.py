@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodegraph.llm import common, line_dedup, near_join, secret_scan
@@ -63,11 +64,15 @@ def test_dictionary_counts_the_words_of_all_documents(spark):
     assert secret_scan.dictionary(docs, 1) == {b"common"}
 
 
-def joined(spark, pairs):
+def met_pairs(spark, pairs):
     docs = spark.createDataFrame([(i, x) for i, p in enumerate(pairs) for x in p], SCHEMA)
-    ids = {r.line: r.id for r in line_dedup.occurrences(docs, 5).collect()}
-    root = {r.node: r.root for r in common.components(line_dedup.line_links(docs, 5, 8, 5, 0.8)).collect()}
-    return sum(root.get(ids[a], ids[a]) == root.get(ids[b], ids[b]) for a, b in pairs) / len(pairs)
+    ids = {r.line: r.id for r in line_dedup.occurrences(docs).collect()}
+    root = {r.node: r.root for r in common.components(line_dedup.line_links(docs, 5, 0.8, 9, 8, 3)).collect()}
+    return [root.get(ids[a], ids[a]) == root.get(ids[b], ids[b]) for a, b in pairs]
+
+
+def joined(spark, pairs):
+    return sum(met_pairs(spark, pairs)) / len(pairs)
 
 
 def changed(g, x):
@@ -95,3 +100,36 @@ def test_lines_of_few_words_meet_their_near_copies(spark):
 def test_equal_short_lines_are_one(spark):
     docs = spark.createDataFrame([(1, "Ende.\nab\n\n \t"), (2, "Ende.\nab\nx\n\n \t")], SCHEMA)
     assert {(r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()} == {(1, "Ende.\nab\n\n \t"), (2, "x\n\n \t")}
+
+
+def test_recall_of_near_copies_by_number_of_words(spark):
+    g = random.Random(13)
+    word = lambda: "".join(chr(97 + g.randrange(26)) for _ in range(g.randint(2, 9)))
+    sets = lambda x: {x[i : i + 5] for i in range(max(1, len(x) - 4))}
+    by = {n: [] for n in (1, 2, 3, 4, 6, 8, 12)}
+    for n, pairs in by.items():
+        while len(pairs) < 60:
+            x = " ".join(word() for _ in range(n))
+            y = changed(g, x) if g.random() < 0.7 else x + g.choice("sx1.")
+            if len(x) > 8 and x != y and len(sets(x) & sets(y)) >= 0.8 * len(sets(x) | sets(y)):
+                pairs.append((x, y))
+    met = met_pairs(spark, [p for pairs in by.values() for p in pairs])
+    for k, n in enumerate(by):
+        assert sum(met[60 * k : 60 * k + 60]) >= 0.9 * 60, n
+
+
+@pytest.mark.parametrize("small", [1000, 3])
+def test_bands_of_many_classes_are_examined_in_full(spark, monkeypatch, small):
+    monkeypatch.setattr(line_dedup, "SMALL_BAND", small)
+    g = random.Random(14)
+    fixed = words(g, 24).replace("éa", "ea")
+    lines = [fixed + " " + words(g, 9) for _ in range(60)]
+    assert joined(spark, [(x, changed(g, x)) for x in lines]) >= 0.95
+
+
+def test_lines_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a line that is here twice\nother", "x", 1), (2, "a line that is here twice", "y", 2), (None, None, None, None)], "doc_id long, text string, doc string, gone int")
+    docs = docs.withColumn("key", F.lit(3)).withColumn("other", F.lit(4)).withColumn("drop", F.lit(5)).withColumn("_h", F.lit(6))
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert (got[1].text, got[2].text, got[None].text) == ("a line that is here twice\nother", "", None)
+    assert (got[1].doc, got[1].gone, got[1].key, got[1].other, got[1]["drop"], got[1]._h) == ("x", 1, 3, 4, 5, 6)
