@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +37,9 @@ def file_embedding_text(path: Column, summary: Column) -> Column:
     s = F.trim(F.coalesce(summary, F.lit("")))
     return F.when(s == "", path).otherwise(s)
 
+#: Fixed value: what stands around code
+FENCE = "```"
+
 
 def prompt(path: str, symbols: list[tuple[str, str, str]]) -> str:
     """symbols: (name, signature, source)."""
@@ -48,9 +50,14 @@ def prompt(path: str, symbols: list[tuple[str, str, str]]) -> str:
 
 def parse_answer(raw: str) -> tuple[str, dict[str, str]]:
     """(file summary, name -> summary); ValueError for anything but the wanted object. A code fence around it is cut off."""
-    m = re.search(r"```(?:json)?\s*(.*?)\s*```", raw, re.S | re.I)
+    begin = raw.find(FENCE)
+    end = raw.find(FENCE, begin + len(FENCE)) if begin >= 0 else -1
+    body = raw
+    if end >= 0:
+        body = raw[begin + len(FENCE) : end]
+        body = body[4:] if body[:4].lower() == "json" else body  # the language after the fence
     try:
-        data = json.loads((m[1] if m else raw).strip())
+        data = json.loads(body.strip())
     except json.JSONDecodeError as e:
         raise ValueError(f"the answer is not JSON: {e}") from e
     if not isinstance(data, dict) or not isinstance(data.get("file_summary"), str):
