@@ -74,11 +74,13 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 def bind_imports(bindings: DataFrame, symbols: DataFrame) -> DataFrame:
     """bindings (import_id, file_path: the imported file, imported, local, kind), symbols (node_id, file_path, name, ordinal) -> import_id, local, node_id.
 
-    The symbol of that name; where a default, namespace or require import finds none, the file's first symbol.
+    A named import is the file's symbol of the imported name. A default, namespace or require import is the symbol with
+    the local name, else the file's first symbol.
     """
-    named = symbols.groupBy("file_path", F.col("name").alias("imported")).agg(F.min("node_id").alias("match"))
+    named = symbols.groupBy("file_path", F.col("name").alias("wanted")).agg(F.min("node_id").alias("match"))
     first = symbols.groupBy("file_path").agg(F.min_by("node_id", "ordinal").alias("first"))
-    out = bindings.join(named, ["file_path", "imported"], "left").join(first, "file_path", "left")
+    wanted = F.when(F.col("kind") == "named", F.col("imported")).otherwise(F.col("local"))
+    out = bindings.withColumn("wanted", wanted).join(named, ["file_path", "wanted"], "left").join(first, "file_path", "left")
     node = F.coalesce("match", F.when(F.col("kind") != "named", F.col("first")))
     return out.select("import_id", "local", node.alias("node_id")).filter("node_id IS NOT NULL")
 

@@ -42,11 +42,10 @@ def edges(parsed: DataFrame, nodes: DataFrame) -> DataFrame:
 
     found = resolve.resolve_imports(imports.select("import_id", candidates("file_path", "module_specifier").alias("candidates")), modules).withColumnRenamed("file_path", "target_path")
     linked = imports.join(found, "import_id")
-    to_module = linked.join(modules, "file_path").join(modules.select(F.col("file_path").alias("target_path"), F.col("module").alias("target")), "target_path")
-    out = to_module.select(F.col("module").alias("source"), "target", F.lit("imports").alias("kind"), F.lit(False).alias("weak"))
     each = linked.select("import_id", "file_path", "target_path", "kind", F.explode("bindings").alias("b")).select("import_id", F.col("file_path").alias("from"), F.col("target_path").alias("file_path"), F.col("b.imported").alias("imported"), F.col("b.local").alias("local"), "kind")
     bound = resolve.bind_imports(each, symbols).join(each.select("import_id", F.col("from").alias("file_path")).distinct(), "import_id").select("file_path", "local", "node_id")
-    out = out.union(bound.join(modules, "file_path").select(F.col("module").alias("source"), F.col("node_id").alias("target"), F.lit("imports"), F.lit(False)))
+    # an edge for each binding; an import of a file for its effects alone has none
+    out = bound.join(modules, "file_path").select(F.col("module").alias("source"), F.col("node_id").alias("target"), F.lit("imports").alias("kind"), F.lit(False).alias("weak"))
     # calls and references: by name, in four steps; outside any symbol they belong to the module
     for kind in ("calls", "refs"):
         use = facts(parsed, kind).withColumn("call_id", F.xxhash64("file_path", "name", "line", F.coalesce("owner", F.lit(""))))
