@@ -31,7 +31,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="lodegraph-")
+        root = sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="lodegraph-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
