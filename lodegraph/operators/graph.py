@@ -10,13 +10,13 @@ DIRECTIONS = ("callees", "callers", "both")
 
 
 def steps(edges: DataFrame, direction: str, kinds: list[str] | None = None) -> DataFrame:
-    """(src, dst): edges in the direction of travel; for both, a path may turn at each hop."""
+    """(src, dst): edges in the direction of travel; for both, a path may turn at each hop. An edge may come twice."""
     if direction not in DIRECTIONS:
         raise ValueError(f"direction must be one of {DIRECTIONS}")
     e = edges.filter(F.col("kind").isin(kinds)) if kinds else edges
     out = e.select(F.col("source").alias("src"), F.col("target").alias("dst"))
     back = out.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return {"callees": out, "callers": back, "both": out.union(back)}[direction].distinct()
+    return {"callees": out, "callers": back, "both": out.union(back)}[direction]
 
 
 def reach(edges: DataFrame, seeds: DataFrame, direction: str = "callees", max_hops: int = 2, kinds: list[str] | None = None) -> DataFrame:
@@ -27,7 +27,10 @@ def reach(edges: DataFrame, seeds: DataFrame, direction: str = "callees", max_ho
     level = seeds.select(F.col("node_id").alias("seed"), "node_id").distinct()
     out = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_hops + 1):
+        # repeated edges and turns back end in the distinct of a level, which is small beside the edges
         level = level.join(step, level["node_id"] == step["src"]).select("seed", F.col("dst").alias("node_id")).distinct()
+        if depth < max_hops:
+            level = level.join(out.select("seed", "node_id"), ["seed", "node_id"], "left_anti")
         out = out.union(level.withColumn("depth", F.lit(depth)))
     return out.groupBy("seed", "node_id").agg(F.min("depth").alias("depth"))
 

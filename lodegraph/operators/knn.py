@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions.vector import l2_to, matrix, similarity
 
-#: Most bytes of query-side vectors that go to every task.
+#: Most bytes of query-side vectors, as doubles, that one task holds.
 QUERY_BYTES = 64 << 20
 
 
@@ -25,60 +25,79 @@ def knn_within(vectors: DataFrame, ids: DataFrame, query: list[float], k: int) -
 
 
 def centroids(vectors: DataFrame, group: str) -> DataFrame:
-    """(id, embedding): element-wise mean of the vectors of each group. Summed before the exchange."""
-    each = vectors.select(F.col(group).alias("id"), F.posexplode("embedding").alias("at", "x"))
-    means = each.groupBy("id", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    lists = means.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("l"))
-    return lists.select("id", F.transform("l", lambda s: s["x"]).alias("embedding"))
+    """(id, embedding): element-wise mean of the vectors of each group, of all one length. Every batch sends one sum a group."""
+
+    def partial(batches):
+        for b in batches:
+            b = b.filter(b.column(1).is_valid())
+            ids, m = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1))
+            if not len(ids):
+                continue
+            order = np.argsort(ids, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+            sums = np.add.reduceat(m[order], at, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[order][at]), pa.array(np.diff(np.append(at, len(ids)))), pa.array(list(sums), pa.list_(pa.float64()))], names=["id", "n", "sums"])
+
+    def total(key, t):
+        mean = matrix(t.column("sums").combine_chunks()).sum(axis=0) / sum(t.column("n").to_pylist())
+        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "embedding": pa.array([mean], pa.list_(pa.float64()))})
+
+    sums = vectors.filter(F.col(group).isNotNull()).select(F.col(group).cast("long").alias("id"), "embedding").mapInArrow(partial, "id long, n long, sums array<double>")
+    return sums.groupBy("id").applyInArrow(total, "id long, embedding array<double>")
 
 
-def similarity_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def similarity_topk(queries: DataFrame, vectors: DataFrame, k: int, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """For each query (qid, embedding) its k nearest vectors (id, embedding): qid, id, distance, similarity.
 
-    Queries travel to the vectors in blocks of at most QUERY_BYTES; each batch returns its k best for each query, so what
-    is exchanged is bounded by k rows a query and batch, and no pair but those is a row.
+    Queries of at most query_bytes, by a count first, go to every task in one piece. More are dealt to blocks, vectors to
+    slices, of that size, and every block meets every slice in a task of its own. Either way a task sends its k best for
+    each query, so what is exchanged is bounded by k rows a query and task, and no pair but those is a row.
     """
-    out = None
-    for block in _blocks(queries):
-        qid, m = block
-        top = vectors.filter("embedding IS NOT NULL").select("id", "embedding").mapInArrow(_best(qid, m, k), "qid long, id long, distance double")
-        out = top if out is None else out.union(top)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "qid long, id long, distance double, similarity double")
+    q = queries.filter("embedding IS NOT NULL").select(F.col("qid").cast("long").alias("qid"), "embedding")
+    v = vectors.filter("embedding IS NOT NULL").select(F.col("id").cast("long").alias("id"), "embedding")
+    schema = "qid long, id long, distance double"
+    size = lambda df: df.agg(F.coalesce(F.sum(8 * F.size("embedding")), F.lit(0)).alias("n")).first()["n"]
+    blocks = -(-size(q) // query_bytes)
+    if blocks <= 1:
+        rows = q.orderBy("qid").collect()
+        qid, m = np.array([r["qid"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64)
+
+        def one(batches):
+            for b in batches:
+                yield _best(qid, m, b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1)), k)
+
+        out = v.mapInArrow(one, schema)
+    else:
+        slices = max(1, -(-size(v) // query_bytes))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        q = q.withColumn("b", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")).withColumn("s", each(slices))
+        v = v.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int")).withColumn("b", each(blocks))
+
+        def both(left, right):
+            side = lambda t, c: (t.column(c).to_numpy(), matrix(t.column("embedding").combine_chunks()))
+            return pa.Table.from_batches([_best(*side(left, "qid"), *side(right, "id"), k)])
+
+        out = q.groupBy("b", "s").cogroup(v.groupBy("b", "s")).applyInArrow(both, schema)
     w = Window.partitionBy("qid").orderBy("distance", "id")
     return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r").withColumn("similarity", similarity(F.col("distance")))
 
 
-def _blocks(queries: DataFrame):
-    ids, rows, held = [], [], 0
-    for r in queries.filter("embedding IS NOT NULL").select("qid", "embedding").orderBy("qid").toLocalIterator():
-        ids.append(r["qid"])
-        rows.append(np.asarray(r["embedding"], np.float64))
-        held += rows[-1].nbytes
-        if held >= QUERY_BYTES:
-            yield np.array(ids), np.stack(rows)
-            ids, rows, held = [], [], 0
-    if ids:
-        yield np.array(ids), np.stack(rows)
-
-
-def _best(qid: np.ndarray, m: np.ndarray, k: int):
-    def run(batches):
-        for b in batches:
-            ids, v = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1))
-            if not len(ids) or k <= 0:
-                continue
-            out: list[list] = [[], [], []]
-            for i in range(0, len(qid), 256):
-                part = m[i : i + 256]
-                rough = (part**2).sum(1)[:, None] + (v**2).sum(1) - 2 * part @ v.T
-                order = np.lexsort((np.broadcast_to(ids, rough.shape), np.round(rough, 9)), axis=1)[:, : k + 2] if len(ids) > k else np.broadcast_to(np.arange(len(ids)), rough.shape)
-                for j, near in enumerate(order):
-                    d = np.sqrt(((v[near] - part[j]) ** 2).sum(axis=1))
-                    first = np.lexsort((ids[near], d))[:k]
-                    out[0].append(np.full(len(first), qid[i + j]))
-                    out[1].append(ids[near][first])
-                    out[2].append(d[first])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["qid", "id", "distance"])
-
-    return run
+def _best(qid: np.ndarray, m: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k nearest of v for each row of m, by differences: a product of matrices only leaves out what its error can't reach."""
+    out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    norm = (v**2).sum(1)
+    for i in range(0, len(qid) if len(ids) and k > 0 else 0, 256):
+        part = m[i : i + 256]
+        own = (part**2).sum(1)
+        rough = own[:, None] + norm - 2 * part @ v.T
+        # each of the three sums is off by at most its number of steps times the rounding of what it adds up
+        error = 4 * (v.shape[1] + 4) * np.finfo(np.float64).eps * (own + norm.max())
+        reach = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error if len(ids) > k else np.full(len(part), np.inf)
+        for j in range(len(part)):
+            near = np.flatnonzero(rough[j] <= reach[j])
+            d = np.sqrt(((v[near] - part[j]) ** 2).sum(axis=1))
+            first = np.lexsort((ids[near], d))[:k]
+            out[0].append(np.full(len(first), qid[i + j]))
+            out[1].append(ids[near][first])
+            out[2].append(d[first])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["qid", "id", "distance"])

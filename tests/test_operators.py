@@ -94,6 +94,29 @@ def test_similarity_topk_equals_plain(spark):
     assert {(r.qid, r.id) for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("query_bytes", [1 << 20, 600])
+def test_similarity_topk_of_long_vectors(spark, query_bytes):
+    g = np.random.default_rng(1)
+    q, v = 1e6 + g.standard_normal((40, 8)), 1e6 + g.standard_normal((900, 8))
+    side = lambda m, name: spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], f"{name} long, embedding array<double>").repartition(3)
+    out = knn.similarity_topk(side(q, "qid"), side(v, "id"), 5, query_bytes)
+    d = np.sqrt(((q[:, None] - v[None]) ** 2).sum(-1))
+    assert {(r.qid, r.id) for r in out.collect()} == {(i, int(j)) for i in range(40) for j in np.lexsort((np.arange(900), d[i]))[:5]}
+    assert knn.similarity_topk(side(q, "qid"), side(v, "id").filter("id < 3"), 5, query_bytes).count() == 120
+
+
+def test_centroids_are_means(spark):
+    v = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [5.0, 5.0]), (2, None), (None, [9.0, 9.0])], "g long, embedding array<float>").repartition(3)
+    assert {r.id: r.embedding for r in knn.centroids(v, "g").collect()} == {1: [2.0, 4.0], 2: [5.0, 5.0]}
+
+
+def test_imports_bind_the_local_name_first(spark):
+    symbols = spark.createDataFrame([(1, "b", "other", 0), (2, "b", "createUser", 1), (3, "b", "User", 2)], "node_id long, file_path string, name string, ordinal int")
+    rows = [(1, "b", "default", "createUser", "default"), (2, "b", "default", "unknown", "default"), (3, "b", "User", "createUser", "named"), (4, "b", "*", "User", "namespace"), (5, "b", "none", "User", "named"), (6, "b", "createUser", "x", "require")]
+    out = resolve.bind_imports(spark.createDataFrame(rows, "import_id long, file_path string, imported string, local string, kind string"), symbols)
+    assert {r.import_id: r.node_id for r in out.collect()} == {1: 2, 2: 1, 3: 3, 4: 3, 6: 1}
+
+
 @pytest.mark.parametrize(("cosine", "grade", "confidence"), [(1.0, "strong", 1.0), (0.85, "strong", 0.85), (0.8, "weak", 0.64), (0.70, "weak", 0.56), (0.5, None, None)])
 def test_link_grades(spark, cosine, grade, confidence):
     kind, conf = link.grade(F.lit(cosine))
