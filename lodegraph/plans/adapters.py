@@ -49,7 +49,7 @@ class Tables:
         return self.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("summary"))
 
     def resources(self) -> DataFrame:
-        return self.benchmark.select(F.col("item_id").alias("id"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("name"), F.substring("text", 1, 300).alias("summary"))
+        return self.benchmark.select(F.col("item_id").alias("id"), F.concat(F.lit("item_"), F.col("item_id").cast("string")).alias("name"), F.col("text").alias("summary"))
 
     def snapshot(self, which: str) -> DataFrame:
         """Old: documents not divisible by 7; new: those not divisible by 11, every 13th with another text, every 17th moved."""
@@ -77,7 +77,7 @@ NODES = f"""nodes AS (
     UNION ALL SELECT {SUPPLIER} + s_suppkey, s_nationkey + 300, s_name, 'module', s_suppkey % 97 FROM supplier))"""
 FILES = "files AS (SELECT range AS file_id, 'src/m' || (range // 100) || '/f' || range || '.ts' AS file_path FROM range(400))"
 TEXTS = "texts AS (SELECT p_partkey AS id, p_name AS name, p_type || ' ' || p_brand AS summary FROM part)"
-RESOURCES = "resources AS (SELECT item_id AS id, 'item_' || item_id AS name, substring(text, 1, 300) AS summary FROM benchmark)"
+RESOURCES = "resources AS (SELECT item_id AS id, 'item_' || item_id AS name, text AS summary FROM benchmark)"
 SNAPSHOTS = """old AS (SELECT doc_id, 'doc/' || doc_id AS file_path, sha256(text) AS hash, text FROM documents WHERE doc_id % 7 <> 0),
 new AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'moved/' ELSE 'doc/' END || doc_id AS file_path, sha256(t) AS hash, t AS text
   FROM (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END AS t FROM documents WHERE doc_id % 11 <> 0))"""

@@ -55,13 +55,13 @@ def file_centroid_knn(t):
     return knn.knn(knn.centroids(t.vectors(), "file_id"), t.query_vector(), 5).select("id", r6("distance", "distance"))
 
 
-PAIRS = f"""d AS (SELECT q.vec_id AS qid, e.vec_id AS id, {LIT} AS d FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE e.vec_id % 50 <> 0),
+PAIRS = f"""d AS (SELECT q.vec_id AS qid, e.vec_id AS id, {LIT} AS d FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS r FROM d) WHERE r <= 5)"""
 
 
 def _sides(t):
     v = t.vectors()
-    return v.filter("id % 50 = 0").select(F.col("id").alias("qid"), "embedding"), v.filter("id % 50 <> 0").select("id", "embedding")
+    return v.filter("id % 50 = 0").select(F.col("id").alias("qid"), "embedding"), v.select("id", "embedding")
 
 
 @query(f"WITH {PAIRS} SELECT qid, id, round(d, 6) AS distance FROM top")
@@ -77,7 +77,7 @@ def link_graded(t):
     return link.link(*_sides(t), 5, strong=0.35, weak=0.30).select("resource_id", "file_id", r6("similarity", "similarity"), "link_type", r6("confidence", "confidence"))
 
 
-@query(f"WITH {PAIRS.replace('<> 0)', '<> 0 AND e.label < 5)').replace('% 50 <> 0)', '% 50 <> 0 AND e.label < 5)')}, g AS (SELECT *, 1 - d * d / 2 AS s FROM top) SELECT qid AS resource_id, id AS file_id, round(s, 6) AS similarity, {GRADED} FROM g WHERE s >= 0.3")
+@query(f"WITH {PAIRS.replace(' q),', ' q WHERE e.label < 5),')}, g AS (SELECT *, 1 - d * d / 2 AS s FROM top) SELECT qid AS resource_id, id AS file_id, round(s, 6) AS similarity, {GRADED} FROM g WHERE s >= 0.3")
 def link_within(t):
     ids = t.vectors().filter("file_id < 5").select("id")
     q, v = _sides(t)
@@ -170,13 +170,13 @@ def search_fts_only(t):
 
 
 @query(
-    f"""WITH {RESOURCES}, {Q0}, d AS (SELECT vec_id AS id, {LIT} AS d FROM embeddings e, q WHERE vec_id < 40 ORDER BY d, id LIMIT 8),
+    f"""WITH {RESOURCES}, {Q0}, d AS (SELECT vec_id AS id, {LIT} AS d FROM embeddings e, q ORDER BY d, id LIMIT 8),
 l AS (SELECT id FROM resources WHERE contains({FOLD.format('name')}, 'ionhe') OR contains({FOLD.format('summary')}, 'ionhe') OR contains({FOLD.format('name')}, 'the') OR contains({FOLD.format('summary')}, 'the') ORDER BY id LIMIT 8),
 u AS (SELECT id, 1 - d * d / 2 AS s, 'dense' AS channel, 0 AS tier, d AS o FROM d UNION ALL SELECT id, NULL, 'like', 1, id FROM l WHERE id NOT IN (SELECT id FROM d))
 SELECT id, round(s, 6) AS similarity, channel FROM u ORDER BY tier, o, id LIMIT 8"""
 )
 def resource_search(t):
-    v = t.vectors().filter("id < 40").select("id", "embedding")
+    v = t.vectors().select("id", "embedding")
     return retrieval.search_resources(t.resources(), v, t.query_vector(), "ionhe the", 8).select("id", r6("similarity", "similarity"), "channel")
 
 
@@ -259,13 +259,13 @@ def explore(t):
     return retrieval.explore(t.nodes(), t.files(), t.edges(), hits, 1).withColumn("rrf_score", F.round("rrf_score", 8))
 
 
-RES_EDGES = "redges AS (SELECT row_number() OVER (ORDER BY p_partkey) AS edge_id, p_partkey % 40 AS resource_id, p_partkey % 300 AS file_id, CASE WHEN p_partkey % 3 = 0 THEN 'reads' ELSE 'describes' END AS kind, (p_partkey * 37 % 101) / 100.0 AS confidence, CASE WHEN (p_partkey * 37 % 101) >= 85 THEN 'strong' ELSE 'weak' END AS link_type FROM part WHERE p_partkey < 1500)"
+RES_EDGES = "redges AS (SELECT row_number() OVER (ORDER BY p_partkey) AS edge_id, p_partkey % 40 AS resource_id, p_partkey % 300 AS file_id, CASE WHEN p_partkey % 3 = 0 THEN 'reads' ELSE 'describes' END AS kind, (p_partkey * 37 % 101) / 100.0 AS confidence, CASE WHEN (p_partkey * 37 % 101) >= 85 THEN 'strong' ELSE 'weak' END AS link_type FROM part)"
 
 
 def _resource_edges(t):
     k = F.col("p_partkey")
     c = (k * 37 % 101) / 100.0
-    return t.part.filter(k < 1500).select((k + 1).alias("edge_id"), (k % 40).alias("resource_id"), (k % 300).alias("file_id"), F.when(k % 3 == 0, "reads").otherwise("describes").alias("kind"), c.alias("confidence"), F.when(k * 37 % 101 >= 85, "strong").otherwise("weak").alias("link_type"))
+    return t.part.select((k + 1).alias("edge_id"), (k % 40).alias("resource_id"), (k % 300).alias("file_id"), F.when(k % 3 == 0, "reads").otherwise("describes").alias("kind"), c.alias("confidence"), F.when(k * 37 % 101 >= 85, "strong").otherwise("weak").alias("link_type"))
 
 
 @query(
@@ -302,25 +302,25 @@ def ingest_resolve(t):
     return resolve.resolve_edges(e, batch, stored).select("source_key", "target_key", "source", "target")
 
 
-SYMBOLS = "symbols AS (SELECT p_partkey AS node_id, 'src/d' || (p_size % 7) || '/f' || p_size || '.ts' AS file_path, CASE WHEN p_partkey % 50 = 0 THEN 'only_' || p_partkey ELSE p_name END AS name, p_partkey AS ordinal FROM part WHERE p_partkey % 4 <> 1)"
+SYMBOLS = "symbols AS (SELECT p_partkey AS node_id, 'src/d' || (p_size % 7) || '/f' || p_size || '.ts' AS file_path, CASE WHEN p_partkey % 50 = 0 THEN 'only_' || p_partkey WHEN p_partkey % 4 = 1 THEN 'old_' || p_name ELSE p_name END AS name, p_partkey AS ordinal FROM part)"
 
 
 def _symbols(t):
     size = F.col("p_size")
     path = F.concat(F.lit("src/d"), (size % 7).cast("string"), F.lit("/f"), size.cast("string"), F.lit(".ts"))
-    name = F.when(F.col("p_partkey") % 50 == 0, F.concat(F.lit("only_"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))
-    return t.part.filter("p_partkey % 4 <> 1").select(F.col("p_partkey").alias("node_id"), path.alias("file_path"), name.alias("name"), F.col("p_partkey").alias("ordinal"))
+    name = F.when(F.col("p_partkey") % 50 == 0, F.concat(F.lit("only_"), F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("old_"), F.col("p_name"))).otherwise(F.col("p_name"))
+    return t.part.select(F.col("p_partkey").alias("node_id"), path.alias("file_path"), name.alias("name"), F.col("p_partkey").alias("ordinal"))
 
 
 @query(
-    f"""WITH {SYMBOLS}, calls AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, 'src/d' || (l_suppkey % 9) || '/f' || (l_suppkey % 50) || '.ts' AS file_path, CASE WHEN l_partkey % 50 = 0 THEN 'only_' || l_partkey ELSE p_name END AS name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1),
+    f"""WITH {SYMBOLS}, calls AS (SELECT l_orderkey * 10 + l_linenumber AS call_id, 'src/d' || (l_suppkey % 9) || '/f' || (l_suppkey % 50) || '.ts' AS file_path, CASE WHEN l_partkey % 50 = 0 THEN 'only_' || l_partkey ELSE p_name END AS name FROM lineitem JOIN part ON p_partkey = l_partkey),
 t1 AS (SELECT file_path, name, min(node_id) AS t1 FROM symbols GROUP BY 1, 2),
 t3 AS (SELECT dir, name, arg_min(node_id, ROW(file_path, node_id)) AS t3 FROM (SELECT *, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir FROM symbols) GROUP BY 1, 2),
 t4 AS (SELECT name, min(node_id) AS t4 FROM symbols GROUP BY 1 HAVING count(*) = 1)
 SELECT call_id, coalesce(t1, t3, t4) AS target, t1 IS NULL AND t3 IS NULL AS weak FROM calls LEFT JOIN t1 USING (file_path, name) LEFT JOIN t3 ON t3.name = calls.name AND dir = regexp_extract(calls.file_path, '^(.*)/[^/]*$', 1) LEFT JOIN t4 ON t4.name = calls.name WHERE coalesce(t1, t3, t4) IS NOT NULL"""
 )
 def symbol_resolution(t):
-    li = t.lineitem.filter("l_linenumber = 1").join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    li = t.lineitem.join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     path = F.concat(F.lit("src/d"), (F.col("l_suppkey") % 9).cast("string"), F.lit("/f"), (F.col("l_suppkey") % 50).cast("string"), F.lit(".ts"))
     name = F.when(F.col("l_partkey") % 50 == 0, F.concat(F.lit("only_"), F.col("l_partkey").cast("string"))).otherwise(F.col("p_name"))
     calls = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("call_id"), path.alias("file_path"), name.alias("name"))
@@ -341,14 +341,14 @@ def import_candidates(t):
 
 
 @query(
-    f"""WITH {SYMBOLS}, b AS (SELECT s_suppkey AS import_id, 'src/d' || (s_suppkey % 7) || '/f' || (s_suppkey % 50) || '.ts' AS file_path, (SELECT min(p_name) FROM part) AS imported, s_name AS local, CASE WHEN s_suppkey % 2 = 0 THEN 'named' ELSE 'default' END AS kind FROM supplier),
+    f"""WITH {SYMBOLS}, b AS (SELECT s_suppkey AS import_id, 'src/d' || (s_suppkey % 7) || '/f' || (s_suppkey % 50) || '.ts' AS file_path, (SELECT min(p_name) FROM part) AS imported, CASE WHEN s_suppkey % 4 < 2 THEN (SELECT max(p_name) FROM part) ELSE s_name END AS local, CASE WHEN s_suppkey % 2 = 0 THEN 'named' ELSE 'default' END AS kind FROM supplier),
 m AS (SELECT file_path, name AS imported, min(node_id) AS m FROM symbols GROUP BY 1, 2), f AS (SELECT file_path, arg_min(node_id, ordinal) AS f FROM symbols GROUP BY 1)
-SELECT import_id, local, coalesce(m, CASE WHEN kind <> 'named' THEN f END) AS node_id FROM b LEFT JOIN m USING (file_path, imported) LEFT JOIN f USING (file_path) WHERE coalesce(m, CASE WHEN kind <> 'named' THEN f END) IS NOT NULL"""
+SELECT import_id, local, coalesce(m, CASE WHEN kind <> 'named' THEN f END) AS node_id FROM b LEFT JOIN m ON m.file_path = b.file_path AND m.imported = CASE WHEN kind = 'named' THEN b.imported ELSE local END LEFT JOIN f ON f.file_path = b.file_path WHERE coalesce(m, CASE WHEN kind <> 'named' THEN f END) IS NOT NULL"""
 )
 def import_bindings(t):
     k = F.col("s_suppkey")
-    first = t.part.agg(F.min("p_name").alias("n")).first()["n"]
-    b = t.supplier.select(k.alias("import_id"), F.concat(F.lit("src/d"), (k % 7).cast("string"), F.lit("/f"), (k % 50).cast("string"), F.lit(".ts")).alias("file_path"), F.lit(first).alias("imported"), F.col("s_name").alias("local"), F.when(k % 2 == 0, "named").otherwise("default").alias("kind"))
+    first, last = t.part.agg(F.min("p_name"), F.max("p_name")).first()
+    b = t.supplier.select(k.alias("import_id"), F.concat(F.lit("src/d"), (k % 7).cast("string"), F.lit("/f"), (k % 50).cast("string"), F.lit(".ts")).alias("file_path"), F.lit(first).alias("imported"), F.when(k % 4 < 2, F.lit(last)).otherwise(F.col("s_name")).alias("local"), F.when(k % 2 == 0, "named").otherwise("default").alias("kind"))
     return resolve.bind_imports(b, _symbols(t))
 
 
@@ -582,7 +582,7 @@ def parse_facts(t):
 
 @query(
     """SELECT * FROM (VALUES ('User', 'extends', 'Base', false), ('User', 'calls', 'normalize', false), ('create', 'calls', 'User', false), ('create', 'calls', 'normalize', false), ('create', 'refs', 'User', false), ('User', 'refs', 'Base', false),
-('run', 'calls', 'helper', false), ('web/a.ts', 'imports', 'web/b.ts', false), ('web/a.ts', 'imports', 'helper', false)) v(source, kind, target, weak)"""
+('run', 'calls', 'helper', false), ('web/a.ts', 'imports', 'helper', false)) v(source, kind, target, weak)"""
 )
 def build_graph(t):
     from lodegraph.plans.build import full
