@@ -62,14 +62,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command in ("build", "rebuild"):
         files = repository.scan(spark, a.root, exclude=config.DEFAULTS["project"]["exclude"])
         partial = a.command == "build" and store.exists()
-        tables = build.incremental(store.tables(), files)[1] if partial else build.full(files)
+        changes, tables = build.incremental(store.tables(), files) if partial else (None, build.full(files))
         if a.dry_run:
             for name in ("nodes", "edges"):
                 print({r["kind"]: r["n"] for r in summary.count_by(tables[name], "kind").orderBy("kind").collect()})
             return 0
-        version = store.write(**tables)
-        store.write(**vectors(store.tables(), embed))
-        print(f"version {version + 1}")
+        if a.command == "rebuild":
+            store.reset()
+        store.write(**tables)
+        version = store.write(**vectors(store.tables(), embed))
+        if partial:
+            t = store.tables()
+            changed = t["files"].join(changes.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("file_id").alias("id"))
+            version = store.write(resource_edges=mount.relink_all(t, changed))
+        print(f"version {version}")
     elif a.command == "status":
         t = store.tables()
         print(json.dumps(summary.graph_stats(**t).first().asDict()))

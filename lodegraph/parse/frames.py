@@ -35,8 +35,11 @@ def rows(path: str, f: Facts) -> dict[str, list[tuple]]:
     }
 
 
+PARSED = "file_path string, " + ", ".join(f"{k} array<{_struct(v)}>" for k, v in KINDS.items())
+
+
 def parse(files: DataFrame) -> DataFrame:
-    """One row a file: file_path and its arrays of symbols, imports, calls and refs. Files that don't parse are skipped."""
+    """One row a file of a known language: file_path and its arrays of symbols, imports, calls and refs; empty ones if it can't be parsed."""
     names = {k: [p.split(" ", 1)[0] for p in _fields(v)] for k, v in KINDS.items()}
 
     def run(batches):
@@ -46,13 +49,13 @@ def parse(files: DataFrame) -> DataFrame:
                 reader = adapter(language)
                 try:
                     found = rows(path, reader.parse(path, source)) if reader else None
-                except (SyntaxError, IndexError, StopIteration, ValueError):
-                    found = None
+                except (SyntaxError, IndexError, StopIteration, ValueError, RecursionError):
+                    found = {k: [] for k in KINDS}
                 if found is not None:
                     out.append((path, *([dict(zip(names[k], r)) for r in found[k]] for k in KINDS)))
             yield pd.DataFrame(out, columns=["file_path", *KINDS])
 
-    return files.select("file_path", "language", "source_code").mapInPandas(run, "file_path string, " + ", ".join(f"{k} array<{_struct(v)}>" for k, v in KINDS.items()))
+    return files.select("file_path", "language", "source_code").mapInPandas(run, PARSED)
 
 
 def facts(parsed: DataFrame, kind: str) -> DataFrame:

@@ -9,23 +9,37 @@ from pyspark.sql import functions as F
 from lodegraph.functions.summarize import file_summaries, node_summary
 from lodegraph.operators import resolve
 from lodegraph.parse.frames import facts, parse
-from lodegraph.plans.incremental import assign_ids, diff, restore_summaries, with_renames
+from lodegraph.plans.incremental import assign_ids, diff, rename, restore_summaries, upsert_files, with_renames
 from lodegraph.runtime import checkpoint
 
 
-def graph(files: DataFrame) -> dict[str, DataFrame]:
-    """files (file_path, language, source_code, hash) -> files, nodes and edges with ids in path and symbol order.
+def graph(files: DataFrame, parsed: DataFrame, old: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """files (file_path, language, source_code, hash) and their facts -> files, nodes and edges.
 
-    A file has a module node named by its path, and a node for the first symbol of each name. Edges are all resolved anew
-    over the facts given, so edges to and from files that didn't change are right, too.
+    A file has a module node named by its path, and a node for the first symbol of each name. Ids follow path and symbol
+    order; beside old files and nodes, those that go on (by path, and name in it) keep their ids and new ones come after
+    all others. Edges are all resolved anew over the facts given, so edges to and from files that didn't change are right, too.
     """
-    parsed = checkpoint(parse(files))  # its facts are read many times
     ok = files.join(parsed.select("file_path"), "file_path", "left_semi").select("file_path", "language", "hash", "source_code")
     symbols = facts(parsed, "symbols")
-    f = checkpoint(assign_ids(ok.drop("source_code"), "file_id", "file_path"))
+    if old is None:
+        f = assign_ids(ok.drop("source_code"), "file_id", "file_path")
+    else:
+        f = upsert_files(old["files"], ok.drop("source_code")).join(ok.select("file_path"), "file_path", "left_semi")
+    f = checkpoint(f)
     first = symbols.groupBy("file_path", "name").agg(F.min_by(F.struct("kind", "signature", "start_line", "end_line", "is_exported", "source_code", "extends_name", "implements_names", "ordinal"), "ordinal").alias("s")).select("file_path", "name", "s.*")
     module = ok.select("file_path", F.col("file_path").alias("name"), F.lit("module").alias("kind"), F.lit("").alias("signature"), F.lit(1).alias("start_line"), F.size(F.split("source_code", "\n")).alias("end_line"), F.lit(False).alias("is_exported"), "source_code", F.lit(None).cast("string").alias("extends_name"), F.array().cast("array<string>").alias("implements_names"), F.lit(-1).alias("ordinal"))
-    n = checkpoint(assign_ids(module.unionByName(first), "node_id", "file_path", "ordinal").join(f.select("file_path", "file_id"), "file_path"))
+    n = module.unionByName(first)
+    if old is None:
+        n = assign_ids(n, "node_id", "file_path", "ordinal")
+    else:
+        named = F.when(F.col("kind") == "module", F.col("file_path")).otherwise(F.col("name"))
+        known = old["nodes"].join(old["files"].select("file_id", "file_path"), "file_id").select("file_path", named.alias("name"), "node_id")
+        n = checkpoint(n.join(known, ["file_path", "name"], "left"))
+        top = old["nodes"].agg(F.coalesce(F.max("node_id"), F.lit(0)).alias("top"))
+        new = assign_ids(n.filter("node_id IS NULL").drop("node_id"), "node_id", "file_path", "ordinal").crossJoin(F.broadcast(top))
+        n = n.filter("node_id IS NOT NULL").unionByName(new.withColumn("node_id", F.col("node_id") + F.col("top")).drop("top"))
+    n = checkpoint(n.join(f.select("file_path", "file_id"), "file_path"))
     return {"files": f, "nodes": n, "edges": edges(parsed, n)}
 
 
@@ -72,14 +86,25 @@ def summarize(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def full(files: DataFrame) -> dict[str, DataFrame]:
-    return summarize(graph(files))
+    parsed = checkpoint(parse(files))  # its facts are read many times
+    return summarize(graph(files, parsed)) | {"facts": parsed}
 
 
 def incremental(old: dict[str, DataFrame], files: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """(changes, tables): the tables as a full build gives them, with finished summaries of unchanged nodes kept."""
-    changes = with_renames(diff(old["files"], files))
-    new = graph(files)
-    before = old["nodes"].join(old["files"].select("file_id", "file_path"), "file_id").select("file_path", "name", "source_code", "summary", "summary_status")
-    moved = changes.filter("change = 'renamed'").select(F.col("from_path").alias("file_path"), F.col("path").alias("_to"))
-    before = before.join(moved, "file_path", "left").withColumn("file_path", F.coalesce("_to", "file_path")).drop("_to")
-    return changes, summarize(new | {"nodes": restore_summaries(before, new["nodes"])})
+    """(changes, tables): the graph that a full build gives, but for ids: what goes on keeps its id.
+
+    Only files that changed, or whose facts aren't stored, are parsed. Finished summaries of unchanged nodes are kept, and
+    links of resources to files that went go.
+    """
+    changes = checkpoint(with_renames(diff(old["files"], files)))
+    renames = changes.filter("change = 'renamed'").select("from_path", "path")
+    here = old["facts"].join(files.select("file_path"), "file_path", "left_semi")
+    kept = here.join(changes.select(F.col("path").alias("file_path")), "file_path", "left_anti")
+    fresh = files.join(kept.select("file_path"), "file_path", "left_anti")
+    parsed = checkpoint(kept.unionByName(parse(fresh)))
+    now = old | {"files": rename(old["files"], renames)}
+    new = graph(files, parsed, now)
+    before = now["nodes"].join(now["files"].select("file_id", "file_path"), "file_id").select("file_path", "name", "source_code", "summary", "summary_status")
+    tables = summarize(new | {"nodes": restore_summaries(before, new["nodes"])})
+    links = old["resource_edges"].join(new["files"].select("file_id"), "file_id", "left_semi")
+    return changes, tables | {"facts": parsed, "resource_edges": links}

@@ -38,6 +38,16 @@ def mount(tables: dict[str, DataFrame], chunks: DataFrame, embed: Embed | None,
     return out | {"resource_vectors": vectors.unionByName(new), "resource_edges": upsert_links(edges, links)}
 
 
+def relink_all(tables: dict[str, DataFrame], files: DataFrame, **options) -> DataFrame:
+    """relink for every type of resource, by its kind of link."""
+    for kind, edge in KINDS.items():
+        of = tables["resources"].filter(F.col("type") == kind).select(F.col("resource_id").alias("id"))
+        mine = tables["resource_edges"].filter(F.col("kind") == edge)
+        found = relink(tables | {"resource_edges": mine, "resource_vectors": tables["resource_vectors"].join(of, "id", "left_semi")}, files, edge, **options)
+        tables = tables | {"resource_edges": tables["resource_edges"].filter(F.col("kind") != edge).unionByName(found, allowMissingColumns=True)}
+    return tables["resource_edges"]
+
+
 def relink(tables: dict[str, DataFrame], files: DataFrame, kind: str = "describes", top_k: int = 10, **thresholds) -> DataFrame:
     """Resource edges after the files (id) changed: theirs are dropped and found anew among them, from stored vectors."""
     rest = tables["resource_edges"].join(files.select(F.col("id").alias("file_id")), "file_id", "left_anti")

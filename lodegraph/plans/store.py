@@ -33,7 +33,7 @@ class Store:
 
     def read(self, table: str) -> DataFrame:
         done = self.versions()
-        if not done:
+        if not done or not self.fs.exists(self._path(f"v{done[-1]}/{table}")):  # a store of a version without that table
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.path}/v{done[-1]}/{table}")
 

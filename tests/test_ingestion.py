@@ -11,6 +11,7 @@ from lodegraph import cli
 from lodegraph.functions import chunk, summarize
 from lodegraph.parse.facts import adapter
 from lodegraph.plans import build, embed, mount
+from lodegraph.plans.schemas import TABLES
 from lodegraph.plans.store import Store
 from lodegraph.service import Service
 from lodegraph.sources import config, evalset, repository, resources
@@ -227,9 +228,41 @@ def test_incremental_equals_full(spark, tmp_path):
     assert not store.exists() and store.read("nodes").count() == 0
 
 
-def test_mount_replaces_a_source(spark):
-    from lodegraph.plans.schemas import TABLES
+def test_ids_and_links_last_over_builds(spark, tmp_path, monkeypatch):
+    root, where = tmp_path / "repo", str(tmp_path / "store")
+    tree(root, {"p/b.py": "def keep():\n    return 1\n", "p/c.py": "def mover():\n    return keep()\n", "p/d.py": "def gone():\n    return 2\n"})
+    tree(tmp_path, {"docs/prd.md": "# Keep\np/b.py keep\n# Gone\np/d.py gone"})
+    assert cli.main(["--store", where, "build", str(root)], spark) == 0
+    assert cli.main(["--store", where, "mount", "prd", str(tmp_path / "docs/prd.md")], spark) == 0
+    t = Store(spark, where).tables()
+    files = {r.file_path: r.file_id for r in t["files"].collect()}
+    nodes = {r.name: r.node_id for r in t["nodes"].collect()}
+    forged = [(1, 1, files["p/b.py"], "describes", 0.9, 0.9, "strong"), (2, 2, files["p/d.py"], "describes", 0.9, 0.9, "strong")]
+    Store(spark, where).write(resource_edges=spark.createDataFrame(forged, TABLES["resource_edges"]))
+    # one file comes first in path order, one moves, one goes, one has an error
+    (root / "p/c.py").rename(root / "p/z.py")
+    (root / "p/d.py").unlink()
+    tree(root, {"a.py": "def early():\n    return keep()\n", "bad.py": "def broken(:\n"})
+    parsed = []
+    real = build.parse
+    monkeypatch.setattr(build, "parse", lambda f: parsed.append(sorted(r.file_path for r in f.collect())) or real(f))
+    assert cli.main(["--store", where, "build", str(root)], spark) == 0
+    assert parsed == [["a.py", "bad.py", "p/z.py"]]
+    t = Store(spark, where).tables()
+    now = {r.file_path: r.file_id for r in t["files"].collect()}
+    assert now["p/b.py"] == files["p/b.py"] and now["p/z.py"] == files["p/c.py"] and set(now) == {"a.py", "bad.py", "p/b.py", "p/z.py"}
+    assert min(now["a.py"], now["bad.py"]) > max(files.values())
+    names = {r.name: r.node_id for r in t["nodes"].collect()}
+    assert all(names[x] == nodes[x] for x in ("keep", "mover", "p/b.py")) and names["p/z.py"] == nodes["p/c.py"] and "gone" not in names and "bad.py" in names
+    e = {(r.source, r.target, r.kind) for r in t["edges"].collect()}
+    assert e == {(names["mover"], names["keep"], "calls"), (names["early"], names["keep"], "calls")}
+    assert [(r.resource_id, r.file_id) for r in t["resource_edges"].filter("link_type = 'strong' AND similarity = 0.9").collect()] == [(1, files["p/b.py"])]
+    assert {r.file_id for r in t["resource_edges"].collect()} <= set(now.values())
+    assert cli.main(["--store", where, "rebuild", str(root)], spark) == 0
+    assert Store(spark, where).read("resources").isEmpty() and Store(spark, where).read("files").count() == 4
+
 
+def test_mount_replaces_a_source(spark):
     tables = {k: spark.createDataFrame([], v) for k, v in TABLES.items()}
     tables["file_vectors"] = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], TABLES["file_vectors"])
     files = spark.createDataFrame([("/x.sql", bytearray(b"CREATE TABLE a (id int); CREATE TABLE b (id int);"))], "path string, content binary")
