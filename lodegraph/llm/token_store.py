@@ -24,7 +24,7 @@ from lodegraph.llm.wordbpe import encoder, strings
 
 SCHEMA = "doc_id long, part int, at long, n_tokens long, tokens array<int>"
 ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
 
 
 def encode_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

@@ -1,8 +1,10 @@
 """Encoding whole texts with a tokenizers file; words that were met before are not encoded again.
 
 For tokenizers that drop white space and lower-case (BPE with word ends), no token crosses white space, so a text's
-ids are those of its words. The distinct words of a batch are found in numpy by their exact bytes, encoded once with
-the tokenizers library, and remembered in a table of bounded size. Any other tokenizer encodes each text as a whole.
+ids are those of its words. Words of up to 16 bytes are looked up, all of a batch at once, in a numpy table by their exact
+bytes; the rest, each different word once, goes through the tokenizers library. The table has a fixed number of places
+(a word takes the place of another one with its hash) and a pool of ids of fixed size, so what it holds is bounded. Any
+other tokenizer encodes each text as a whole.
 """
 
 from __future__ import annotations
@@ -32,13 +34,17 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    def __init__(self, path: str, memo_words: int = 400_000):
+    def __init__(self, path: str, place_bits: int = 18, pool_ids: int = 1 << 21):
+        """The table has 2 ** place_bits places (22 bytes each) and pool_ids ids (4 bytes each)."""
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         with open(path) as f:
             spec = json.load(f)
-        self.memo_words, self.memo, self.pieces = memo_words, {}, {}
+        self.shift, self.pool, self.used = np.uint64(64 - place_bits), np.zeros(pool_ids, np.uint32), 0
+        places = 1 << place_bits
+        self.key_lo, self.key_hi, self.key_size = np.zeros(places, np.uint64), np.zeros(places, np.uint64), np.zeros(places, np.uint8)
+        self.first, self.count = np.zeros(places, np.int32), np.zeros(places, np.uint8)
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         steps = [x.get("type") for x in norm.get("normalizers", [])]
         first = (pre.get("pretokenizers") or [{}])[0]
@@ -92,33 +98,55 @@ class Encoder:
         eight = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
         lo = eight[starts] & _MASK[np.minimum(size, 8)]
         hi = eight[np.minimum(starts + 8, len(buf) - 8)] & _MASK[np.clip(size - 8, 0, 8)]
-        long = np.flatnonzero(size > 16)
-        seen: dict[bytes, int] = {}
-        for i in long.tolist():  # their keys stand for their place in the table of long words
-            w = buf[starts[i] : ends[i]]
-            hi[i] = seen.setdefault(w, len(seen))
-            lo[i] = 0
-        tag = np.where(size > 16, 17, size)
         with np.errstate(over="ignore"):
-            h = (lo * np.uint64(0x9E3779B97F4A7C15)) ^ (hi * np.uint64(0xC2B2AE3D27D4EB4F) + tag.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
+            h = (lo * np.uint64(0x9E3779B97F4A7C15)) ^ (hi * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64) * np.uint64(0x165667B19E3779F9))
             h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+        place = (h >> self.shift).astype(np.int64)
+        known = (self.key_lo[place] == lo) & (self.key_hi[place] == hi) & (self.key_size[place] == np.minimum(size, 17))
+        at, per = self.first[place].astype(np.int64), self.count[place].astype(np.int64)
+        new = np.flatnonzero(~known)
+        if len(new):
+            words, which = self._different(buf, starts[new], ends[new], lo[new], hi[new], h[new])
+            flat, n = self._ids([buf[starts[i] : ends[i]] for i in new[words].tolist()])
+            if self.used + len(flat) > len(self.pool):  # full: begin anew, with what this batch needs of it
+                self.key_size[:] = 0
+                keep = self.pool[np.repeat(at - (np.cumsum(per * known) - per * known), per * known) + np.arange((per * known).sum())]
+                at[known] = (np.cumsum(per * known) - per * known)[known]
+                self.used = len(keep)
+                if self.used + len(flat) > len(self.pool):
+                    self.pool = np.zeros(self.used + len(flat), np.uint32)
+                self.pool[: self.used] = keep
+            begin = self.used + np.cumsum(n) - n
+            self.pool[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            at[new], per[new] = begin[which], n[which]
+            short = np.flatnonzero((size[new[words]] <= 16) & (n < 256))
+            to, of = place[new[words[short]]], new[words[short]]
+            self.key_lo[to], self.key_hi[to], self.key_size[to] = lo[of], hi[of], size[of]
+            self.first[to], self.count[to] = begin[short], n[short]
+        upto = np.cumsum(per)
+        ids = self.pool[np.repeat(at - (upto - per), per) + np.arange(upto[-1] if len(upto) else 0)]
+        ends_at = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(n_words)])]
+        return ids, np.diff(ends_at)
+
+    @staticmethod
+    def _different(buf: bytes, starts, ends, lo, hi, h) -> tuple[np.ndarray, np.ndarray]:
+        """Places of one of each different word, and for every word its number among them."""
+        size = ends - starts
+        seen: dict[bytes, int] = {}
+        for i in np.flatnonzero(size > 16).tolist():  # the number of a long word stands for its bytes
+            hi[i] = seen.setdefault(buf[starts[i] : ends[i]], len(seen))
+            lo[i] = 0
+            h[i] = hi[i]
+        size = np.minimum(size, 17)
         order = np.argsort(h)
-        lo_s, hi_s, tag_s = lo[order], hi[order], tag[order]
+        lo, hi, size = lo[order], hi[order], size[order]
         new = np.ones(len(order), bool)
-        new[1:] = (lo_s[1:] != lo_s[:-1]) | (hi_s[1:] != hi_s[:-1]) | (tag_s[1:] != tag_s[:-1])
+        new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (size[1:] != size[:-1])
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        first = order[new]
-        s, e = starts[first].tolist(), ends[first].tolist()
-        got = self._lookup([buf[i:j] for i, j in zip(s, e)])
-        flat = np.frombuffer(b"".join(got), np.uint32)
-        n = np.array([len(x) for x in got], np.int64) // 4
-        at = np.cumsum(n) - n
-        per = n[which]
-        upto = np.cumsum(per)
-        ids = flat[np.repeat(at[which] - (upto - per), per) + np.arange(upto[-1] if len(upto) else 0)]
-        ends_at = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(n_words)])]
-        return ids, np.diff(ends_at)
+        return order[new], which
 
     @staticmethod
     def _lower(t: str) -> bytes:
@@ -126,34 +154,19 @@ class Encoder:
         # one character at a time: no final form of sigma
         return ("".join(c.lower() for c in t) if "Σ" in t else t.lower()).encode("utf-8", "surrogatepass")
 
-    def _lookup(self, words: list[bytes]) -> list[bytes]:
-        if len(self.memo) > self.memo_words:
-            self.memo.clear()
-        if len(self.pieces) > self.memo_words:
-            self.pieces.clear()
-        missing = [w for w in words if w not in self.memo]
-        if missing:
-            cut = [self.split(w.decode("utf-8", "surrogatepass")) for w in missing]
-            self._learn({p for c in cut for p in c if p not in self.pieces})
-            for w, c in zip(missing, cut):
-                self.memo[w] = self.pieces[c[0]] if len(c) == 1 else b"".join([self.pieces[p] for p in c])
-        memo = self.memo
-        return [memo[w] for w in words]
-
-    def _learn(self, pieces: set[str]) -> None:
-        if not pieces:
-            return
-        todo = list(pieces)
-        ids = np.array(self.words.encode_batch_fast([" ".join(todo)], add_special_tokens=False)[0].ids, np.uint32)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(todo):
-            raw = ids.tobytes()
-            ends = (cuts * 4).tolist()
-            for p, i, j in zip(todo, [0, *ends], ends):
-                self.pieces[p] = raw[i:j]
+    def _ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each has."""
+        cut = [self.split(w.decode("utf-8", "surrogatepass")) for w in words]
+        pieces = list(dict.fromkeys(p for c in cut for p in c))
+        ids = np.array(self.words.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32) if pieces else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(pieces):
+            raw, ends = ids.tobytes(), (ends * 4).tolist()
+            of = {p: raw[i:j] for p, i, j in zip(pieces, [0, *ends], ends)}
         else:
-            for p, e in zip(todo, self.words.encode_batch_fast(todo, add_special_tokens=False)):
-                self.pieces[p] = np.array(e.ids, np.uint32).tobytes()
+            of = {p: np.array(e.ids, np.uint32).tobytes() for p, e in zip(pieces, self.words.encode_batch_fast(pieces, add_special_tokens=False))}
+        got = [of[c[0]] if len(c) == 1 else b"".join([of[p] for p in c]) for c in cut]
+        return np.frombuffer(b"".join(got), np.uint32), np.array([len(x) for x in got], np.int64) // 4
 
 
 def strings(column) -> list[str | None]:
