@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import checkpoint, table
 
 SIZE, GRAM = 400, 128
-STEP_BYTES = 4_000_000
+#: bytes of text that are worked on at once, and rows of lists
+STEP_BYTES, STEP_ROWS = 1_000_000, 500
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -96,6 +97,16 @@ def _texts(batch, column: int):
         i = j
 
 
+def _lists(batches):
+    """The columns of a few rows at a time, as lists."""
+    for batch in batches:
+        i = 0
+        while i < batch.num_rows:
+            piece = batch.slice(i, STEP_ROWS)
+            yield [c.to_pylist() for c in piece.columns]
+            i += STEP_ROWS
+
+
 def lce(x: bytes, y: bytes) -> int:
     """How many first bytes are the same."""
     n = min(len(x), len(y))
@@ -215,7 +226,7 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_rows: int
 
     def contexts(batches):
         # a context that a text has again is covered in full there and there; only the first goes to a shard
-        for batch in batches:
+        for columns in _lists(batches):
             rows: list[list] = [[] for _ in range(7)]
             held = 0
 
@@ -223,7 +234,7 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_rows: int
                 for col, v in zip(rows, row):
                     col.append(v)
 
-            for key, text, _, found in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, text, _, found in zip(*columns):
                 seen: dict[bytes, int] = {}
                 for x in found:
                     at = x["at"]
@@ -256,9 +267,9 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_rows: int
 
     def shards(batches):
         gram_, held = None, []
-        for batch in batches:
+        for columns in _lists(batches):
             out: list[list] = [[], [], []]
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in zip(*columns):
                 if row[0] != gram_:
                     close(held, out)
                     gram_, held = row[0], []
@@ -287,9 +298,9 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_rows: int
     if some_hot:
 
         def windows(batches):
-            for batch in batches:
+            for columns in _lists(batches):
                 out: list[list] = [[], [], [], []]
-                for key, at, left, right in zip(*(c.to_pylist() for c in batch.columns)):
+                for key, at, left, right in zip(*columns):
                     whole, a = left[::-1] + right, len(left)
                     for p in range(len(whole) - size + 1):
                         for col, v in zip(out, (hashlib.blake2b(whole[p : p + size], digest_size=16).digest(), key, at, at - a + p)):
@@ -311,9 +322,9 @@ def repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, shard_rows: int
 
     def assemble(batches):
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for columns in _lists(batches):
             rows: list[list] = [[], [], [], [], [], []]
-            for key, text, n, found in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, text, n, found in zip(*columns):
                 if n > 1 and len(text) >= size:
                     found = [{"start": 0, "end": len(text)}]
                 merged: list[list[int]] = []
