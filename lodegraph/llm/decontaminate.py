@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import checkpoint, table
+from lodegraph.llm.common import checkpoint, table, unused
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what stands between words
@@ -69,18 +69,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 8, min_item
     found = found.select("doc_id", "_h", start.alias("start"), F.size("win").alias("len"), "items")
     spots = F.array_distinct(F.flatten(F.transform(F.col("at"), lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
     per = found.groupBy("doc_id", "_h").agg(F.collect_set(F.struct("start", "len")).alias("at"), F.collect_set("items").alias("items"))
-    per = per.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), F.size(spots).alias("_n"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("_items"), F.transform(F.array_sort("at"), lambda x: F.struct((x["start"] - 1).alias("start"), (x["start"] - 1 + x["len"]).alias("end"))).alias("_at"))
-    out = docs.withColumn("_h", F.xxhash64("text")).drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
-    out = out.join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left")
-    n_items = F.coalesce(F.size("_items"), F.lit(0)).cast("long")
+    docs = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
+    h, d, g, n, ids, at = unused(docs, "h", "d", "g", "n", "ids", "at")
+    span = lambda x: F.struct((x["start"] - 1).alias("start"), (x["start"] - 1 + x["len"]).alias("end"))
+    per = per.select(F.col("doc_id").alias(d), F.col("_h").alias(g), F.size(spots).alias(n), F.array_sort(F.array_distinct(F.flatten("items"))).alias(ids), F.transform(F.array_sort("at"), span).alias(at))
+    out = docs.withColumn(h, F.xxhash64("text"))
+    out = out.join(per, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(g)), "left")
+    n_items = F.when(F.col(ids).isNull(), 0).otherwise(F.size(ids)).cast("long")
     return out.select(
-        *[F.col(c) for c in out.columns if c not in ("_h", "_d", "_g", "_n", "_items", "_at")],
+        *docs.columns,
         F.size(words(F.col("text"))).cast("long").alias("n_words"),
-        F.coalesce("_n", F.lit(0)).cast("long").alias("n_hit"),
-        F.when(F.col("_items").isNull(), 0).otherwise(n_items).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("_items", ","), F.lit("")), 256).alias("items_sha256"),
-        F.when(F.col("_items").isNull(), False).otherwise(n_items >= min_items).alias("contaminated"),
-        F.col("_at").alias("hits"),
+        F.coalesce(n, F.lit(0)).cast("long").alias("n_hit"),
+        n_items.alias("n_items"),
+        F.sha2(F.coalesce(F.array_join(ids, ","), F.lit("")), 256).alias("items_sha256"),
+        F.when(F.col(ids).isNull(), False).otherwise(n_items >= min_items).alias("contaminated"),
+        F.col(at).alias("hits"),
     )
 
 

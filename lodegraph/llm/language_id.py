@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm.bigru import BiGRU
-from lodegraph.llm.common import table
+from lodegraph.llm.common import table, unused
 
 UNKNOWN = "und"
 CUT = 160  # characters that hold a window
@@ -86,12 +86,13 @@ def predictor(model: BiGRU | None):
 def with_language(docs: DataFrame, model: BiGRU | None) -> DataFrame:
     """The columns of docs, and held_out, lang_pred, score."""
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = docs.drop("held_out", "lang_pred", "score").withColumn("_p", predictor(model)("text"))
-    return out.select(
-        *[F.col(c) for c in out.columns if c != "_p"],
+    docs = docs.drop("held_out", "lang_pred", "score")
+    (p,) = unused(docs, "p")
+    return docs.withColumn(p, predictor(model)("text")).select(
+        *docs.columns,
         held_out(F.col("doc_id")).alias("held_out"),
-        F.when(letters, F.col("_p.lang")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(letters, F.col("_p.score")).otherwise(0.0).alias("score"),
+        F.when(letters, F.col(f"{p}.lang")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(letters, F.col(f"{p}.score")).otherwise(0.0).alias("score"),
     )
 
 
