@@ -16,6 +16,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -35,7 +36,7 @@ DECOY = re.compile(rb"(?i)example|sample|dummy|placeholder|changeme|your[_-]|sha
 EXAMPLE_PATH = re.compile(r"(?i)test|example|sample|doc|fixture|readme")
 ASSIGNED = re.compile(rb"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}$")
 SIGN = re.compile(rb"[=:]")
-VALUE = re.compile(rb"\s{0,3}[\"']?([^\s\"'<>;,]{6,200})")
+VALUE = re.compile(rb"\s{0,3}[\"']?([^\s\"'<>;,]{6,})")
 
 _KIND = np.zeros(256, np.uint8)  # 1 lower, 2 upper, 3 digit, 4 other token character
 for _k, _chars in ((1, range(97, 123)), (2, range(65, 91)), (3, range(48, 58)), (4, b"_+/=-.")):
@@ -57,15 +58,19 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
         for s, e in zip(starts[ok].tolist(), ends[ok].tolist()):
             cut = max(text.rfind(b"=", s, e - 6), text.rfind(b"/=", s, e - 6)) + 1  # name=value
             found.add((cut if cut > s and e - cut >= 6 else s, e))
+    done = 0
     for sign in SIGN.finditer(text):
         at = sign.start()
-        if ASSIGNED.search(text, max(0, at - 20), at) and (m := VALUE.match(text, at + 1)):
+        # signs within the last value would give shorter ones that overlap it
+        if at >= done and ASSIGNED.search(text, max(0, at - 20), at) and (m := VALUE.match(text, at + 1)):
             found.add(m.span(1))
-    kept: list[tuple[int, int]] = []
-    for s, e in sorted(found, key=lambda x: (x[0] - x[1], x)):
-        if not any(s < y and x < e for x, y in kept):
-            kept.append((s, e))
-    return sorted(kept)
+            done = m.end(1)
+    kept: list[tuple[int, int]] = []  # in order, none overlaps another
+    for span in sorted(found, key=lambda x: (x[0] - x[1], x)):
+        i = bisect_left(kept, span)
+        if (i == 0 or kept[i - 1][1] <= span[0]) and (i == len(kept) or span[1] <= kept[i][0]):
+            kept.insert(i, span)
+    return kept
 
 
 def features(before: bytes, value: bytes, after: bytes, path: str, dictionary: frozenset[bytes]) -> list[float]:
