@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import table
+from lodegraph.llm.common import checkpoint, table
 
 SIZES = (512, 1024, 2048, 4096)
 
@@ -69,11 +69,13 @@ def best_fit(lengths: list[int], sizes: tuple[int, ...]) -> tuple[list[int], lis
 def packed(items: DataFrame, sizes: tuple[int, ...] = SIZES, shard_items: int = 50_000) -> DataFrame:
     """items: (doc_id, n_tokens), n_tokens at least 1. One row a piece: doc_id, piece, start (in its document), length, bin_id, bin_size, bin_start."""
     largest = sizes[-1]
+    items = checkpoint(items.select("doc_id", "n_tokens"))  # lengths alone: counted once, read twice
     pieces = items.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / largest).cast("long"))).alias("piece"))
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * largest).alias("start"), F.least(F.lit(largest).cast("long"), F.col("n_tokens") - F.col("piece") * largest).alias("length"))
     n = items.agg(F.coalesce(F.sum(F.floor((F.col("n_tokens") - 1) / largest) + 1), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-int(n) // shard_items))
-    h = F.xxhash64("doc_id", "piece", "length")
+    # with the row's number: equal rows go to different shards
+    h = F.xxhash64("doc_id", "piece", "length", F.monotonically_increasing_id())
     pieces = pieces.withColumn("h", h).withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int"))
 
     def pack(key, t):
@@ -86,6 +88,17 @@ def packed(items: DataFrame, sizes: tuple[int, ...] = SIZES, shard_items: int =
     return pieces.groupBy("shard").applyInArrow(pack, "doc_id long, piece long, start long, length long, bin_id long, bin_size long, bin_start long")
 
 
+def sequences(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """(bin_id, bin_size, tokens, doc_ids): the token ids of every bin, from rows (doc_id, tokens), doc_id once, and their places.
+
+    A bin has at most the largest size's tokens, so a group is bounded.
+    """
+    part = F.slice("tokens", (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
+    parts = placed.join(rows.select("doc_id", "tokens"), "doc_id").select("bin_id", "bin_size", F.struct("bin_start", "doc_id", part.alias("ids")).alias("p"))
+    parts = parts.groupBy("bin_id", "bin_size").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return parts.select("bin_id", "bin_size", F.flatten("p.ids").alias("tokens"), F.col("p.doc_id").alias("doc_ids"))
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens): words between white space, and an end token."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
