@@ -1,11 +1,10 @@
 """Exact dedup by counting quotient filters.
 
 Texts are equal when their bytes are, once every space, tab, line feed, vertical tab, form feed and carriage return is
-deleted. Each partition turns the 64-bit fingerprints of its texts into a counting quotient filter: the high bits (the
-quotient) choose a run, the run holds sorted remainders (the other bits) with counts. Quotient and remainder together
-are the fingerprint, so filters merge without loss, by merging the sorted remainders of a run and adding counts. Runs
-are dealt by quotient; one key, however frequent, is a single remainder with a count in each partition's filter. Only
-texts whose fingerprint has a count over one are routed on, to be grouped by their very bytes.
+deleted. Each partition turns the 64-bit fingerprints of its texts into a counting quotient filter (quotient_filter.py), in blocks
+by their high bits. Blocks are dealt to the tasks that merge them, without loss, by sorted remainders; one key, however
+frequent, is a single remainder with a count in each partition's filter. Only texts whose fingerprint has a count over
+one are routed on, to be grouped by their very bytes.
 
 Null text is empty text, and all empty texts are equal. In a group the row with the most code points in its original
 text stays, then the smallest doc_id (null last); of rows that tie in both, exactly one stays. An empty table gives an
@@ -23,12 +22,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import table
+from lodegraph.llm.quotient_filter import QuotientFilter, summed
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: fewest bits of the quotient, which chooses a run; what is left is the remainder
-QUOTIENT_BITS = 12
-#: fingerprints that a merged run is meant to hold
-RUN = 1 << 16
+#: fewest bits that choose a block, and fingerprints that a merged block is meant to hold
+BLOCK_BITS, BLOCK = 6, 1 << 16
 
 
 def _texts(column) -> list[bytes]:
@@ -62,58 +60,53 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "fp long")
 
 
-def _merge(fps: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(fps, kind="stable")
-    fps, counts = fps[order], counts[order]
-    new = np.flatnonzero(np.concatenate([[True], fps[1:] != fps[:-1]])) if len(fps) else np.zeros(0, np.int64)
-    return fps[new], np.add.reduceat(counts, new) if len(new) else counts
+def block_bits(rows: int) -> int:
+    """So many that a block, which one task merges, holds about BLOCK fingerprints at any size of the corpus."""
+    return max(BLOCK_BITS, min(40, (rows // BLOCK).bit_length()))
 
 
-def quotient_filters(fps: DataFrame, bits: int = QUOTIENT_BITS) -> DataFrame:
-    """One filter a partition: rows (quotient, remainders, counts), a row for each run that isn't empty."""
-    shift = np.uint64(64 - bits)
+def quotient_filters(fps: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """A counting quotient filter of each partition, in blocks by the fingerprints' high bits: (block, quotient_bits, slots, marks)."""
 
     def run(batches):
-        held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            new = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            held, counts = _merge(np.concatenate([held, new]), np.concatenate([counts, np.ones(len(new), np.int64)]))
+        new = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches]
+        held = np.concatenate([np.zeros(0, np.uint64), *new])
+        held, counts = summed(held, np.ones(len(held), np.int64))
         if not len(held):
             return
-        quotient = (held >> shift).astype(np.int64)
-        rest = held & np.uint64((1 << (64 - bits)) - 1)
-        at = np.flatnonzero(np.concatenate([[True], quotient[1:] != quotient[:-1]]))
-        ends = np.append(at[1:], len(held))
-        runs = list(zip(at.tolist(), ends.tolist()))
-        yield pa.RecordBatch.from_arrays([pa.array(quotient[at]), pa.array([rest[i:j].tobytes() for i, j in runs], pa.binary()), pa.array([counts[i:j].tobytes() for i, j in runs], pa.binary())], names=["quotient", "remainders", "counts"])
-
-    return fps.mapInArrow(run, "quotient long, remainders binary, counts binary")
-
+        width = 64 - bits
+        block = (held >> np.uint64(width)).astype(np.int64)
+        rest = held & np.uint64((1 << width) - 1)
+        at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        made = [QuotientFilter.build(rest[i:j], counts[i:j], width) for i, j in zip(at.tolist(), np.append(at[1:], len(held)).tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(block[at]), pa.array([f.bits for f in made], pa.int32()), pa.array([f.slots.tobytes() for f in made], pa.binary()), pa.array([f.marks.tobytes() for f in made], pa.binary())],
+            names=["block", "quotient_bits", "slots", "marks"],
+        )
 
-def quotient_bits(rows: int) -> int:
-    """So many that a run, which one task merges, holds about RUN fingerprints at any size of the corpus."""
-    return max(QUOTIENT_BITS, min(40, (rows // RUN).bit_length()))
+    return fps.mapInArrow(run, "block long, quotient_bits int, slots binary, marks binary")
 
 
-def repeated(filters: DataFrame, bits: int = QUOTIENT_BITS) -> DataFrame:
-    """Merge the filters' runs; fingerprints with a count over one."""
-    shift = np.uint64(64 - bits)
+def repeated(filters: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Merge the filters of each block; (fp, n): fingerprints with a count over one."""
+    width = 64 - bits
 
     def run(key, t):
-        rest = np.frombuffer(b"".join(t.column("remainders").to_pylist()), np.uint64)
-        fps, counts = _merge(rest, np.frombuffer(b"".join(t.column("counts").to_pylist()), np.int64))
-        fps = fps[counts > 1] | (np.uint64(key[0].as_py()) << shift)
+        parts = zip(t.column("quotient_bits").to_pylist(), t.column("slots").to_pylist(), t.column("marks").to_pylist())
+        whole = QuotientFilter.merge((QuotientFilter(width, q, np.frombuffer(s, np.uint64), np.frombuffer(m, np.uint8)) for q, s, m in parts), width)
+        fps, counts = whole.items()
+        fps = fps[counts > 1] | (np.uint64(key[0].as_py()) << np.uint64(width))
         return pa.table({"fp": fps.view(np.int64), "n": counts[counts > 1]})
 
-    return filters.groupBy("quotient").applyInArrow(run, "fp long, n long")
+    return filters.groupBy("block").applyInArrow(run, "fp long, n long")
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    bits = quotient_bits(docs.count())  # from the files' metadata
+    bits = block_bits(docs.count())  # from the files' metadata
     routes = repeated(quotient_filters(fingerprints(docs), bits), bits).select("fp")
     routed = digests(docs, True).join(routes, "fp", "left_semi")
-    best = F.max_by(F.struct("doc_id", "n_points"), F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63)))))
+    best = F.max_by(F.struct("doc_id", "n_points"), F.struct("n_points", F.col("doc_id").isNotNull(), F.bitwise_not("doc_id")))
     verified = routed.groupBy("norm").agg(F.first("text_sha256").alias("text_sha256"), best.alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     # rows that tie in all respects are numbered, before the join: the exchange is by all three columns
     w = Window.partitionBy("text_sha256", "doc_id", "n_points").orderBy("fp")
