@@ -7,10 +7,12 @@ one shingle; characters are UTF-16 code units). Two lines whose similarity is at
 2. Signature: `bands` times `rows` MinHash values over the line's runs of `run` characters (the whole line if it is
    shorter), a minimum of one hash function each, made by generated code over exploded positions and aggregation. Lines
    of at most `SHORT` characters have a second one over runs of `chars` characters.
-3. Banding: the `rows` values of a band are its key. Lines that share a band are candidates if at least `AGREE` of 64
-   two-bit digests of further MinHash values agree, which only lines that share a band have. Near copies whose similarity
-   by runs is s share a band with probability 1 - (1 - s^rows)^bands; README has the recall measured by line length.
-4. Every line of a band is compared with the band's smallest one. Bands whose lines are then still in several classes
+3. Banding: the `rows` values of a band are its key. Lines that share a band are candidates if at least `AGREE` of
+   `DIGESTS` two-bit digests of further MinHash values over shingles agree, which only lines that share a band have. Near
+   copies whose similarity by runs is s share a band with probability 1 - (1 - s^rows)^bands; README has the recall
+   measured by line length.
+4. Every line of a band is compared with the band's most frequent one, and those that are in another class with the most
+   frequent of them, a few times. Bands whose lines are then still in several classes
    are examined in full: all pairs of different classes where a band has at most `SMALL_BAND` lines, and otherwise an
    exact join over prefixes of the lines' shingle sets, rarest shingles first. No candidates stay unexamined.
 5. A pair links by the exact Jaccard similarity of its two sets.
@@ -31,13 +33,13 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import checkpoint, components, is_small, table, unused
 
 #: lines of a band up to which its pairs are made one by one
-SMALL_BAND = 1000
+SMALL_BAND = 20_000
 #: characters up to which a line has a second signature, of shorter runs
 SHORT = 64
 #: ids that may be broadcast to find their lines (16 bytes each); beyond, lines are shuffled to them
 BROADCAST_IDS = 1_000_000
-#: of 64 digests, those that agree in candidates; three in four are expected to where isolated changes leave a similarity of 0.8
-AGREE = 40
+#: digests of a line, and those that agree in candidates: at a similarity of 0.8, 109 of 128 are expected to (deviation 4)
+DIGESTS, AGREE = 128, 101
 #: positions of one block of a long line, in bytes of UTF-16
 BLOCK = 1 << 16
 BLANKS = " \t\x0b\f\r"
@@ -49,33 +51,39 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.filter(F.btrim("line", F.lit(BLANKS)) != "").withColumn("id", F.xxhash64("line"))
 
 
-def minima(lines: DataFrame, run: int, first: int, n: int) -> DataFrame:
-    """(id, m0, m1, ...): n MinHash values, from hash function `first` on, over the runs of `run` characters of (id, line)."""
+def minima(lines: DataFrame, run: int, orders: list[Column]) -> DataFrame:
+    """(id, m0, m1, ..., n): the least of each order of the runs of `run` characters of (id, line), by their hashes h; n rows had the line."""
     wide = lines.select("id", F.encode("line", "UTF-16BE").alias("b"))
     wide = wide.select("id", "b", F.greatest(F.octet_length("b") - F.lit(2 * run - 1), F.lit(1)).alias("last"))
     wide = wide.select("id", "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(BLOCK))).alias("start"))
     each = wide.select("id", "b", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + (BLOCK - 2), F.col("last")), F.lit(2))).alias("at"))
-    each = each.select("id", F.xxhash64(F.substring("b", F.col("at"), F.lit(2 * run))).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"))
-    # the hash that is next to a point, by XOR: every hash of two lines together is as likely to be it
-    points = [(j * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF for j in range(first, first + n)]
-    return each.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{j}") for j, c in enumerate(points)])
+    each = each.select("id", F.xxhash64(F.substring("b", F.col("at"), F.lit(2 * run))).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), (F.col("at") == 1).cast("int").alias("first"))
+    low = [F.min(x).alias(f"m{j}") for j, x in enumerate(orders)]
+    return each.groupBy("id").agg(*low, F.sum("first").alias("n"))
 
 
 def band_keys(lines: DataFrame, chars: int, run: int, bands: int, rows: int) -> DataFrame:
-    """(id, band) from (id, line): the keys of each line's bands."""
+    """(id, n, band) from (id, line): how many rows have the line, and the keys of its bands."""
+    # nearness to a point, by XOR: the cheapest order; every hash of two lines together is as likely to be the nearest
+    points = [F.col("h").bitwiseXOR(F.lit((j * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF)) for j in range(bands * rows)]
     keys = lambda r: F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(k), *[f"m{j}" for j in range(k * rows, (k + 1) * rows)]) for k in range(bands)])).alias("band")
-    short = minima(lines.filter(F.length("line") <= SHORT), chars, 0, bands * rows)
-    return minima(lines, run, 0, bands * rows).select("id", keys(run)).union(short.select("id", keys(chars)))
+    short = minima(lines.filter(F.length("line") <= SHORT), chars, points)
+    return minima(lines, run, points).select("id", "n", keys(run)).union(short.select("id", "n", keys(chars)))
 
 
-MARKS = ("d0", "d1", "s0", "s1")
+MARKS = [f"d{k}" for k in range(DIGESTS // 32)]
 
 
-def digests(lines: DataFrame, chars: int, run: int, first: int) -> DataFrame:
-    """(id, d0, d1, s0, s1): two bits of each of 64 MinHash values; s of runs of `chars` characters, for short lines only."""
+def digests(lines: DataFrame, chars: int) -> DataFrame:
+    """(id, d0, d1, ...): two bits of each of DIGESTS MinHash values over runs of `chars` characters, 32 in a long."""
     pack = lambda k: reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{32 * k + j}").bitwiseAND(F.lit(3).cast("long")), 2 * j) for j in range(32)])
-    short = minima(lines.filter(F.length("line") <= SHORT), chars, first, 64).select("id", pack(0).alias("s0"), pack(1).alias("s1"))
-    return minima(lines, run, first, 64).select("id", pack(0).alias("d0"), pack(1).alias("d1")).join(short, "id", "left")
+    # the hash times an odd number, modulo 2^32: orders that are independent for small sets, too
+    orders = [(F.col("h") * F.lit((0x9E3779B1 * (2 * j + 1) & 0x7FFFFFFF) | 1)).bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(DIGESTS)]
+    out = None
+    for k in range(0, DIGESTS, 64):  # more at once make code that is too long to be compiled
+        some = minima(lines, chars, orders[k : k + 64]).select("id", pack(0).alias(MARKS[k // 32]), pack(1).alias(MARKS[k // 32 + 1]))
+        out = some if out is None else out.join(some, "id")
+    return out
 
 
 def agree(x: str, y: str) -> Column:
@@ -85,7 +93,13 @@ def agree(x: str, y: str) -> Column:
         bits = F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))
         return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
-    return (differ("d0") + differ("d1") <= 64 - AGREE) | F.coalesce(differ("s0") + differ("s1") <= 64 - AGREE, F.lit(False))
+    return reduce(Column.__add__, map(differ, MARKS)) <= DIGESTS - AGREE
+
+
+def most_frequent(rows: DataFrame) -> DataFrame:
+    """(band, top): the most frequent line of each band with several, of rows (band, id, n)."""
+    tops = rows.groupBy("band").agg(F.max(F.struct("n", "id"))["id"].alias("top"), F.count(F.lit(1)).alias("lines"))
+    return tops.filter("lines > 1").select("band", "top")
 
 
 def shingles(line: Column | str, chars: int) -> Column:
@@ -130,22 +144,34 @@ def prefix_pairs(lines: DataFrame, ids: DataFrame, chars: int, threshold: float)
     return pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
 
 
-def line_links(docs: DataFrame, chars: int, threshold: float, run: int, bands: int, rows: int) -> DataFrame:
+def line_links(docs: DataFrame, chars: int, threshold: float, run: int, bands: int, rows: int, rounds: int = 2) -> DataFrame:
     """(a, b): ids of lines that are near copies; their components are those of all links between candidates."""
     keys = band_keys(occurrences(docs).select("id", "line"), chars, run, bands, rows).repartition("band")  # one exchange for the sums and the join
-    ends = keys.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("band", "low")
-    near = checkpoint(keys.join(ends, "band").select("band", "id", "low"))
+    near = checkpoint(keys.join(most_frequent(keys), "band").select("band", "id", "n", "top"))
     lines = checkpoint(lines_of(docs, checkpoint(near.select("id").distinct())))
-    marks = checkpoint(digests(lines, chars, run, bands * rows))
+    marks = checkpoint(digests(lines, chars))
     mark = lambda x: marks.select(F.col("id").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in MARKS])
-    pairs = near.filter("id <> low").select(F.col("id").alias("idx"), F.col("low").alias("idy")).distinct()
-    pairs = pairs.join(mark("x"), "idx").join(mark("y"), "idy").filter(agree("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-    found = checkpoint(verified(lines, checkpoint(pairs), chars, threshold))
-    # what is left: lines of bands that have more than one class besides their smallest line
-    tops = components(found).select(F.col("node").alias("id"), "root")
-    rest = near.filter("id <> low").join(tops, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+    found = classes = None
+    left = near
+    for k in range(rounds):
+        # the lines that are left in a band, beside the most frequent one of them
+        if k:
+            left = checkpoint(left.drop("top").join(most_frequent(left), "band").select("band", "id", "n", "top"))
+        pairs = left.filter("id <> top").select(F.col("id").alias("idx"), F.col("top").alias("idy")).distinct()
+        pairs = checkpoint(pairs.join(mark("x"), "idx").join(mark("y"), "idy").filter(agree("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b")))
+        if pairs.isEmpty():
+            break
+        more = checkpoint(verified(lines, pairs, chars, threshold))
+        found = more if found is None else found.union(more)
+        classes = checkpoint(components(found).select(F.col("node").alias("id"), "root"))
+        of = lambda c, name: classes.select(F.col("id").alias(c), F.col("root").alias(name))  # noqa: B023, E731
+        left = left.filter("id <> top").join(of("id", "r"), "id", "left").join(of("top", "t"), "top", "left").filter(F.coalesce("r", "id") != F.coalesce("t", "top")).drop("r", "t")
+    if found is None:
+        return near.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    # all pairs of lines of a band that are still in different classes
+    rest = near.join(classes, "id", "left").select("band", "id", "top", F.coalesce("root", "id").alias("root"))
     mixed = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("band", "n")
-    rest = checkpoint(rest.join(mixed, "band").join(marks, "id"))
+    rest = checkpoint(rest.filter("id <> top").join(mixed, "band").join(marks, "id"))
     if rest.isEmpty():
         return found
     side = lambda df, x, *more: df.select(*more, *[F.col(c).alias(f"{c}{x}") for c in ("id", "root", *MARKS)])
