@@ -9,6 +9,7 @@ import pytest
 import xxhash
 
 from lodegraph.llm import common, decontaminate, exact_dedup, simhash, suffix_dedup, token_store, warc_store
+from lodegraph.llm.quotient_filter import QuotientFilter
 from tests.llm.fixtures import empty, frame, texts
 
 
@@ -74,6 +75,26 @@ def test_exact_groups(spark):
     assert exact_dedup.exact_groups(empty(spark)).count() == 0
 
 
+def test_quotient_filter_gives_back_its_fingerprints():
+    g = np.random.default_rng(5)
+    for n, width, top in ((0, 40, 9), (1, 40, 9), (300, 12, 1 << 12), (2000, 58, 1 << 58), (500, 20, 600)):
+        put = g.integers(0, top, n, dtype=np.uint64)
+        parts = [put[: n // 3], put[n // 3 : n // 2], put[n // 2 :]]
+        made = [QuotientFilter.build(*np.unique(p, return_counts=True), width) for p in parts]
+        whole = QuotientFilter.merge(made, width)
+        fps, counts = whole.items()
+        want, times = np.unique(put, return_counts=True)
+        assert (fps == want).all() and (counts == times).all()
+        assert all(whole.count(int(f)) == c for f, c in zip(want[:200], times[:200]))
+        assert all(whole.count(int(x)) == int((put == x).sum()) for x in g.integers(0, top, 50, dtype=np.uint64))
+
+
+def test_smallest_doc_id(spark):
+    rows_ = [(-(2**63), "a b"), (5, "ab "), (None, "ab ")]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(frame(spark, rows_)).collect()}
+    assert got == {-(2**63): (-(2**63), 3, True), 5: (-(2**63), 3, False), None: (-(2**63), 3, False)}
+
+
 def test_quotient_filters_merge(spark):
     fps = [5, 5, -9, 2**62, -9, 7, 2**62 + 1]
     df = spark.createDataFrame([(x,) for x in fps], "fp long").repartition(3)

@@ -87,6 +87,10 @@ def test_secrets_held_out_and_planted(spark):
     assert data[slice(*secrets[2])] == b"f95017526fc608ad71587f8ea5418b66ff2e6d38"
     assert secret_scan.findings(empty(spark), model, words).count() == 0
     assert secret_scan.candidates(b"a:" * 20_000 + b"=" * 20_000) == []  # in linear time
+    assert secret_scan.candidates(b"token=" * 200_000) == [(6, 1_200_000)]
+    many = b" ".join(b"abcdef1234567890%06d" % i for i in range(100_000))
+    assert len(secret_scan.candidates(many)) == 100_000
+    assert secret_scan.candidates(b"password: " + b"s3cR%" * 80 + b" x") == [(10, 410)]
 
 
 def brute_pack(lengths, sizes):
@@ -133,6 +137,21 @@ def test_packing_keeps_every_token(spark):
     assert packing.packed(packing.token_counts(empty(spark))).count() == 0
 
 
+def test_sequences_hold_the_token_ids_of_their_documents(spark):
+    g = random.Random(6)
+    ids = {d: [g.randrange(50_000) for _ in range(g.choice([1, 7, 64, 65, 300]))] for d in range(80)}
+    rows = spark.createDataFrame(list(ids.items()), "doc_id long, tokens array<int>")
+    placed = packing.packed(rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens")), (16, 64, 128), shard_items=40)
+    got = {r.bin_id: r for r in packing.sequences(rows, placed).collect()}
+    want: dict = {}
+    for r in sorted(placed.collect(), key=lambda r: (r.bin_id, r.bin_start)):
+        want.setdefault(r.bin_id, []).extend(ids[r.doc_id][r.start : r.start + r.length])
+    assert {b: r.tokens for b, r in got.items()} == want
+    assert all(len(r.tokens) <= r.bin_size for r in got.values())
+    same = spark.createDataFrame([(None, 3)] * 500, "doc_id long, n_tokens long")
+    assert packing.packed(same, (16,), shard_items=50).groupBy((F.col("bin_id") / 2**32).cast("int")).count().count() > 5
+
+
 def jaccard(a, b, n=5):
     s = lambda x: {x[i : i + n] for i in range(len(x) - n + 1)} or {x}
     return len(s(a) & s(b)) / len(s(a) | s(b))
