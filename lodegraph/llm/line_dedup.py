@@ -25,6 +25,7 @@ Other columns pass through; columns named n_lines or n_dropped are replaced. An
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -144,45 +145,54 @@ def prefix_pairs(lines: DataFrame, ids: DataFrame, chars: int, threshold: float)
     return pairs.select(F.col("idx").alias("a"), F.col("idy").alias("b")).distinct()
 
 
-def line_links(docs: DataFrame, chars: int, threshold: float, run: int, bands: int, rows: int, rounds: int = 2) -> DataFrame:
+def line_links(docs: DataFrame, chars: int, threshold: float, run: int, bands: int, rows: int) -> DataFrame:
     """(a, b): ids of lines that are near copies; their components are those of all links between candidates."""
     keys = band_keys(occurrences(docs).select("id", "line"), chars, run, bands, rows).repartition("band")  # one exchange for the sums and the join
     near = checkpoint(keys.join(most_frequent(keys), "band").select("band", "id", "n", "top"))
     lines = checkpoint(lines_of(docs, checkpoint(near.select("id").distinct())))
     marks = checkpoint(digests(lines, chars))
+    return band_links(near, marks, lambda pairs: verified(lines, pairs, chars, threshold), lambda ids: prefix_pairs(lines, ids, chars, threshold))
+
+
+def band_links(near: DataFrame, marks: DataFrame, verify: Callable, wide: Callable | None = None, rounds: int = 2, found: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between ids of near (band, id, n, top) whose marks agree and that verify (pairs to pairs) lets pass.
+
+    wide: ids (id, root) to all pairs that can pass, for bands of over SMALL_BAND ids. found: links known before.
+    """
     mark = lambda x: marks.select(F.col("id").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in MARKS])
-    found = classes = None
+    classes_of = lambda links: checkpoint(components(links).select(F.col("node").alias("id"), "root"))
+    classes = None if found is None else classes_of(found)
     left = near
     for k in range(rounds):
-        # the lines that are left in a band, beside the most frequent one of them
+        # the ids that are left in a band, beside the most frequent one of them
         if k:
             left = checkpoint(left.drop("top").join(most_frequent(left), "band").select("band", "id", "n", "top"))
         pairs = left.filter("id <> top").select(F.col("id").alias("idx"), F.col("top").alias("idy")).distinct()
         pairs = checkpoint(pairs.join(mark("x"), "idx").join(mark("y"), "idy").filter(agree("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b")))
         if pairs.isEmpty():
             break
-        more = checkpoint(verified(lines, pairs, chars, threshold))
+        more = checkpoint(verify(pairs))
         found = more if found is None else found.union(more)
-        classes = checkpoint(components(found).select(F.col("node").alias("id"), "root"))
+        classes = classes_of(found)
         of = lambda c, name: classes.select(F.col("id").alias(c), F.col("root").alias(name))  # noqa: B023, E731
         left = left.filter("id <> top").join(of("id", "r"), "id", "left").join(of("top", "t"), "top", "left").filter(F.coalesce("r", "id") != F.coalesce("t", "top")).drop("r", "t")
     if found is None:
         return near.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    # all pairs of lines of a band that are still in different classes
+    # all pairs of ids of a band that are still in different classes
     rest = near.join(classes, "id", "left").select("band", "id", "top", F.coalesce("root", "id").alias("root"))
     mixed = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("band", "n")
     rest = checkpoint(rest.filter("id <> top").join(mixed, "band").join(marks, "id"))
     if rest.isEmpty():
         return found
     side = lambda df, x, *more: df.select(*more, *[F.col(c).alias(f"{c}{x}") for c in ("id", "root", *MARKS)])
-    small = rest.filter(F.col("n") <= SMALL_BAND)
+    small = rest.filter(F.col("n") <= SMALL_BAND) if wide else rest
     x, y = side(small, "x", F.col("band").alias("bx")), side(small, "y", F.col("band").alias("by"))
     more = x.join(y, (F.col("bx") == F.col("by")) & (F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")) & agree("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
-    large = checkpoint(rest.filter(F.col("n") > SMALL_BAND).select("id", "root").distinct())
-    if not large.isEmpty():
-        wide = prefix_pairs(lines, large, chars, threshold).select(F.col("a").alias("idx"), F.col("b").alias("idy"))
-        more = more.union(wide.join(mark("x"), "idx").join(mark("y"), "idy").filter(agree("x", "y")).select("idx", "idy"))
-    return found.union(checkpoint(verified(lines, checkpoint(more.distinct()), chars, threshold)))
+    large = checkpoint(rest.filter(F.col("n") > SMALL_BAND).select("id", "root").distinct()) if wide else None
+    if large is not None and not large.isEmpty():
+        some = wide(large).select(F.col("a").alias("idx"), F.col("b").alias("idy"))
+        more = more.union(some.join(mark("x"), "idx").join(mark("y"), "idy").filter(agree("x", "y")).select("idx", "idy"))
+    return found.union(checkpoint(verify(checkpoint(more.distinct()))))
 
 
 def dropped_lines(docs: DataFrame, chars: int = 5, threshold: float = 0.8, run: int = 9, bands: int = 8, rows: int = 3) -> DataFrame:

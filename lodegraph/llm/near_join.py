@@ -1,14 +1,14 @@
-"""Near copies by the exact Jaccard similarity of word shingles: a prefix-filtered set join.
+"""Near copies of a Jaccard similarity of word shingles, found by SimHash and MinHash and verified exactly.
 
 A text's words (split at white space, A-Z lower-cased) give shingles of `size` words (one shorter shingle for fewer
 words); its set is that of their XXH64 hashes. Two texts link if the Jaccard similarity of their sets is at least
 `threshold`, and classes are the connected components of links.
 
-Search: two sets of that similarity share a shingle within their prefixes, the first n - ceil(threshold n) + 1 of n
-shingles, in any order that all sets have in common. The order is by hash, but shingles met in the prefixes of over `HOT`
-sets (the most frequent `MAX_HOT` of them) come last, so that common passages rarely make candidates. The order changes
-the work, never the result. Texts that share a prefix shingle are compared with the smallest of them first; then every
-pair of them that is not in one class yet and whose sizes allow the similarity is compared, too, so no link is missed.
+Candidates: fingerprints of the same shingles that link in the SimHash operator's BK-trees (simhash.py). Two bits can't
+reach a similarity of 0.8, though, so texts that share one of `BANDS` bands of `ROWS` MinHash values, and most of 128
+digests of such values, are candidates, too: at a similarity of 0.8 a pair shares a band with probability 0.994.
+Candidates are examined as lines are (line_dedup.band_links): none is left out. One pass over the texts makes all
+features; the texts of candidates alone are moved to be verified.
 
 Equal sets are one class; texts without words (null, too) have the empty set. Columns other than text and doc_id are
 ignored. An empty table gives an empty result.
@@ -16,7 +16,6 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from itertools import repeat
 
 import numpy as np
@@ -25,115 +24,107 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lodegraph.llm.common import checkpoint, components
+from lodegraph.llm import simhash
+from lodegraph.llm.common import checkpoint, components, is_small, unused
+from lodegraph.llm.line_dedup import BROADCAST_IDS, DIGESTS, MARKS, band_links, most_frequent
 
-HOT, MAX_HOT = 64, 200_000
+BANDS, ROWS = 10, 4
+_TIMES = np.random.default_rng(20240611).integers(0, 1 << 63, DIGESTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_set(data: bytes | None, size: int) -> np.ndarray:
-    """The sorted hashes of a text's different shingles."""
+def shingle_hashes(data: bytes | None, size: int) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
     words = (data or b"").lower().split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     parts = [b" ".join(words)] if len(words) < size else map(b" ".join, zip(*(words[i:] for i in range(size))))
-    return np.unique(np.fromiter(map(xxh64_intdigest, parts, repeat(42)), np.uint64, max(1, len(words) - size + 1)).view(np.int64))
+    return np.fromiter(map(xxh64_intdigest, parts, repeat(42)), np.uint64, max(1, len(words) - size + 1))
 
 
 def _key(tokens: np.ndarray) -> int:
-    x = xxh64_intdigest(tokens.tobytes(), 7)
-    return x - (1 << 64) if x >> 63 else x
+    k = xxh64_intdigest(tokens.tobytes())
+    return k - (1 << 64) if k >> 63 else k
 
 
-def prefix(tokens: np.ndarray, threshold: float, hot: np.ndarray) -> np.ndarray:
-    n = len(tokens)
-    p = n - math.ceil(threshold * n - 1e-9) + 1 if n else 0
-    if len(hot) and n:
-        last = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
-        if last.any():
-            tokens = np.concatenate([tokens[~last], tokens[last]])
-    return tokens[:p]
+def _fingerprint(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _text(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("text").cast("string").alias("text"))
+def _minima(tokens: np.ndarray) -> np.ndarray:
+    """MinHash values: the hash times an odd number is another order for each number. Few tokens at a time."""
+    low = np.full(DIGESTS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(tokens), 4096):
+        np.minimum(low, (tokens[i : i + 4096, None] * _TIMES).min(axis=0), out=low)
+    return low
 
 
-def prefix_rows(docs: DataFrame, size: int, threshold: float, hot: np.ndarray) -> DataFrame:
-    """(tok, k, n): the prefix shingles of each text's set, whose key is k and size n."""
+def features(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, h, k, fp, bands, d0, ...) of each row: its text's hash, the set's key, the fingerprint, band keys and digests."""
+    schema = "doc_id long, h long, k long, fp long, bands array<long>, " + ", ".join(f"{m} long" for m in MARKS)
 
     def run(batches):
         for b in batches:
-            toks, ks, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                s = shingle_set(t, size)
-                p = prefix(s, threshold, hot)
-                toks.append(p)
-                ks.append(np.full(len(p), _key(s), np.int64))
-                ns.append(np.full(len(p), len(s), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, ks, ns)], names=["tok", "k", "n"])
-
-    return _text(docs).mapInArrow(run, "tok long, k long, n int")
-
-
-def sets(docs: DataFrame, size: int) -> DataFrame:
-    """(k, toks): each text's set."""
-
-    def run(batches):
-        for b in batches:
-            each = [shingle_set(t, size) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            offsets = np.cumsum([0, *map(len, each)], dtype=np.int32)
-            toks = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *each])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([_key(s) for s in each], np.int64)), toks], names=["k", "toks"])
-
-    return _text(docs).mapInArrow(run, "k long, toks array<long>")
-
-
-def keys(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, _h, k) of each row; _h is the text's hash."""
+            out = []
+            for t in b.column(2).cast(pa.large_binary()).to_pylist():
+                hashes = shingle_hashes(t, size)
+                tokens = np.unique(hashes)
+                low = _minima(tokens)
+                bands = [_key(np.append(low[i * ROWS : (i + 1) * ROWS], np.uint64(i))) for i in range(BANDS)]
+                two = (low >> np.uint64(8)) & np.uint64(3)
+                marks = [int((two[i : i + 32] << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(dtype=np.uint64).view(np.int64)) for i in range(0, DIGESTS, 32)]
+                out.append((_key(tokens), _fingerprint(hashes) if len(hashes) else 0, bands, *marks))
+            cols = list(zip(*out)) or [[]] * (3 + len(MARKS))
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.int64()] * len(MARKS)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], names=["doc_id", "h", "k", "fp", "bands", *MARKS])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, schema)
+
+
+def texts_of(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(k, text): one text of each set of ids (k). rows: the features of docs."""
+    one = rows.join(ids, "k", "left_semi").groupBy("k").agg(F.min("h").alias("h"))  # texts of one set are one class
+    one = F.broadcast(one) if is_small(one, BROADCAST_IDS) else one
+    return docs.select(F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).join(one, "h").groupBy("k").agg(F.first("text").alias("text"))
+
+
+def verified(texts: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are as similar as the threshold."""
 
     def run(batches):
         for b in batches:
-            k = [_key(shingle_set(t, size)) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(k, np.int64))], names=["doc_id", "_h", "k"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, _h long, k long")
-
-
-def verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are as similar as the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    held = sets(docs, size).join(ids, "k", "left_semi").groupBy("k").agg(F.first("toks").alias("toks"))
-    both = pairs.join(held.select(F.col("k").alias("a"), F.col("toks").alias("x")), "a").join(held.select(F.col("k").alias("b"), F.col("toks").alias("y")), "b")
-    # i / (n - i) >= t, for i common shingles and n in both sets together
-    return both.filter(F.size(F.array_intersect("x", "y")) >= threshold / (1 + threshold) * (F.size("x") + F.size("y")) - 1e-9).select("a", "b")
-
-
-def links(docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """(a, b): links between keys of different sets, whose components are those of all links."""
-    hot = np.zeros(0, np.int64)
-    for again in (True, False):
-        rows = prefix_rows(docs, size, threshold, hot).repartition("tok").dropDuplicates(["tok", "k"])
-        ends = rows.groupBy("tok").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count(F.lit(1)).alias("sets")).filter("low <> high").drop("high")
-        rows = checkpoint(rows.join(ends, "tok"))
-        if not again:
-            break
-        often = rows.filter(F.col("sets") > HOT).select("tok", "sets").distinct().orderBy(F.desc("sets"), "tok").limit(MAX_HOT).select("tok").collect()
-        if not often:
-            break
-        hot = np.sort(np.array([r["tok"] for r in often], np.int64))
-    star = checkpoint(rows.filter("k <> low").select(F.col("k").alias("a"), F.col("low").alias("b")).distinct())
-    found = checkpoint(verified(docs, star, size, threshold))
-    # what is left: pairs of one shingle's texts, not in one class
-    tops = components(found).select(F.col("node").alias("k"), "root")
-    rest = rows.filter("k <> low").join(tops, "k", "left").select("tok", "k", "n", F.coalesce("root", "k").alias("root"))
-    open_ = rest.groupBy("tok").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).filter("_x <> _y").select("tok")
-    rest = checkpoint(rest.join(open_, "tok"))
-    if rest.isEmpty():
-        return found
-    x, y = (rest.select("tok", *[F.col(c).alias(f"{c}{i}") for c in ("k", "n", "root")]) for i in "xy")
-    pairs = x.join(y, "tok").filter("kx < ky AND rootx <> rooty").filter(F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9)
-    pairs = checkpoint(pairs.select(F.col("kx").alias("a"), F.col("ky").alias("b")).distinct())
-    return found.union(verified(docs, pairs, size, threshold))
+            sides = (c.cast(pa.large_binary()) for c in b.columns[2:])
+            keep, last = [], (None, None)
+            for x, y in zip(*sides):
+                x, y = x.as_py(), y.as_py()
+                one = last[1] if last[0] == x else np.unique(shingle_hashes(x, size))
+                last, two = (x, one), np.unique(shingle_hashes(y, size))
+                i = len(np.intersect1d(one, two, assume_unique=True))
+                # i / (n - i) >= t, for i common shingles and n in both sets together
+                keep.append(i >= threshold * (len(one) + len(two) - i) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["a", "b"])
+
+    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("k").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def links(docs: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """(a, b): links between keys of different sets, whose components are those of all links between candidates."""
+    sets = checkpoint(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), *[F.first(m).alias(m) for m in MARKS]))
+    keys = sets.select(F.col("k").alias("id"), "n", F.explode("bands").alias("band")).repartition("band")
+    near = checkpoint(keys.join(most_frequent(keys), "band").select("band", "id", "n", "top"))
+    # SimHash: links of fingerprints, by one set of each; and sets with one fingerprint
+    first = sets.groupBy("fp").agg(F.min("k").alias("first"))
+    close = simhash.links(first.select("fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    close = close.select("x", "y").union(sets.join(first, "fp").filter("k <> first").select("k", "first"))
+    close = checkpoint(close.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    ids = near.select(F.col("id").alias("k")).union(close.select(F.explode(F.array("a", "b")))).distinct()
+    texts = checkpoint(texts_of(docs, rows, checkpoint(ids)))
+    verify = lambda pairs: verified(texts, pairs, size, threshold)
+    return band_links(near, sets.select(F.col("k").alias("id"), *MARKS), verify, found=checkpoint(verify(close)))
 
 
 def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -141,14 +132,14 @@ def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFram
 
     A row is its doc_id and text: rows that share only one of them are different rows, and of equal ones one stays.
     """
-    tops = components(links(docs, size, threshold)).select(F.col("node").alias("k"), "root")
-    rows = keys(docs, size).filter("doc_id IS NOT NULL").join(tops, "k", "left").select("doc_id", "_h", F.coalesce("root", "k").alias("cls"))
-    rows = checkpoint(rows)
-    first = rows.groupBy("cls").agg(F.min(F.struct("doc_id", "_h")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    stay = first.select("first.doc_id", "first._h", "rows")
-    stay = stay.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "rows")
-    named = docs.withColumn("_h", F.xxhash64("text"))
-    out = named.join(stay, (named["doc_id"].cast("long") == stay["_d"]) & (named["_h"] == stay["_g"]))
-    single = out.filter("rows = 1").select(*docs.columns)
-    some = out.filter("rows > 1").dropDuplicates(["_d", "_g"]).select(*docs.columns)
+    base = checkpoint(features(docs, size))
+    tops = components(links(docs, base, size, threshold)).select(F.col("node").alias("k"), "root")
+    rows = base.filter("doc_id IS NOT NULL").join(tops, "k", "left").select("doc_id", "h", F.coalesce("root", "k").alias("cls"))
+    first = rows.groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    i, h, d, g, n = unused(docs, "i", "h", "d", "g", "n")
+    stay = first.select(F.col("first.doc_id").alias(d), F.col("first.h").alias(g), F.col("rows").alias(n))
+    named = docs.withColumn(h, F.xxhash64("text")).withColumn(i, F.col("doc_id").cast("long"))
+    out = named.join(stay, (F.col(i) == F.col(d)) & (F.col(h) == F.col(g)))
+    single = out.filter(F.col(n) == 1).select(*docs.columns)
+    some = out.filter(F.col(n) > 1).dropDuplicates([d, g]).select(*docs.columns)
     return single.union(some).union(docs.filter("doc_id IS NULL"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodegraph.llm import common, decontaminate, language_id, line_dedup, near_join, secret_scan
+from lodegraph.llm import common, decontaminate, language_id, line_dedup, secret_scan
 from tests.llm.fixtures import words
 
 SCHEMA = "doc_id long, text string"
@@ -17,9 +17,7 @@ def five(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_near_stage_drops_copies_of_similarity_over_08(spark, monkeypatch, hot):
-    monkeypatch.setattr(near_join, "HOT", hot)
+def test_near_stage_drops_copies_of_similarity_over_08(spark):
     g = random.Random(8)
     passage = words(g, 60)
     texts = [words(g, 150) for _ in range(6)] + [passage + " " + words(g, 25) for _ in range(6)]
