@@ -26,7 +26,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near copies: sets of five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """Keep one document of each class of near copies, found by SimHash and MinHash: a Jaccard similarity of five-word shingles of 0.8 or more."""
     ship(spark)
     return near_join.keep_one(docs, size=5, threshold=0.8).select(*docs.columns)
 
