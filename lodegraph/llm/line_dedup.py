@@ -7,14 +7,15 @@ one shingle; characters are UTF-16 code units). Two lines whose similarity is at
 2. Signature: `bands` times `rows` MinHash values over the line's runs of `run` characters (the whole line if it is
    shorter), a minimum of one hash function each, made by generated code over exploded positions and aggregation. Lines
    of at most `SHORT` characters have a second one over runs of `chars` characters.
-3. Banding: the `rows` values of a band are its key. Lines that share a band are candidates if at least `AGREE` of
-   `DIGESTS` two-bit digests of further MinHash values over shingles agree, which only lines that share a band have. Near
-   copies whose similarity by runs is s share a band with probability 1 - (1 - s^rows)^bands; README has the recall
-   measured by line length.
+3. Banding: the `rows` values of a band are its key. Near copies whose similarity by runs is s share a band with
+   probability 1 - (1 - s^rows)^bands; README has the recall measured by line length. Lines that share a band are
+   candidates unless their odd sketches show that they can't link: a sketch has the parity of a set's shingles in each of
+   `SKETCH` classes of hashes, so two sets differ in as many shingles at least as their sketches do in bits. This loses no link.
 4. Every line of a band is compared with the band's most frequent one, and those that are in another class with the most
-   frequent of them, a few times. Bands whose lines are then still in several classes
-   are examined in full: all pairs of different classes where a band has at most `SMALL_BAND` lines, and otherwise an
-   exact join over prefixes of the lines' shingle sets, rarest shingles first. No candidates stay unexamined.
+   frequent of them, a few times. Bands whose lines are then still in several classes are examined in full: lines outside
+   a band's largest class meet all lines of other classes, in the least band that both have, where a band has at most
+   `SMALL_BAND` lines, and otherwise an exact join over prefixes of the lines' shingle sets, rarest shingles first. No
+   candidates stay unexamined.
 5. A pair links by the exact Jaccard similarity of its two sets.
 6. Union-find over links; of each class, and of equal lines, the occurrence with the smallest (doc_id, position) stays.
 
@@ -39,8 +40,8 @@ SMALL_BAND = 20_000
 SHORT = 64
 #: ids that may be broadcast to find their lines (16 bytes each); beyond, lines are shuffled to them
 BROADCAST_IDS = 1_000_000
-#: digests of a line, and those that agree in candidates: at a similarity of 0.8, 109 of 128 are expected to (deviation 4)
-DIGESTS, AGREE = 128, 101
+#: bits of a line's sketch
+SKETCH = 1024
 #: positions of one block of a long line, in bytes of UTF-16
 BLOCK = 1 << 16
 BLANKS = " \t\x0b\f\r"
@@ -72,29 +73,25 @@ def band_keys(lines: DataFrame, chars: int, run: int, bands: int, rows: int) ->
     return minima(lines, run, points).select("id", "n", keys(run)).union(short.select("id", "n", keys(chars)))
 
 
-MARKS = [f"d{k}" for k in range(DIGESTS // 32)]
+MARKS = [f"d{k}" for k in range(SKETCH // 64)]
 
 
-def digests(lines: DataFrame, chars: int) -> DataFrame:
-    """(id, d0, d1, ...): two bits of each of DIGESTS MinHash values over runs of `chars` characters, 32 in a long."""
-    pack = lambda k: reduce(Column.bitwiseOR, [F.shiftleft(F.col(f"m{32 * k + j}").bitwiseAND(F.lit(3).cast("long")), 2 * j) for j in range(32)])
-    # the hash times an odd number, modulo 2^32: orders that are independent for small sets, too
-    orders = [(F.col("h") * F.lit((0x9E3779B1 * (2 * j + 1) & 0x7FFFFFFF) | 1)).bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(DIGESTS)]
-    out = None
-    for k in range(0, DIGESTS, 64):  # more at once make code that is too long to be compiled
-        some = minima(lines, chars, orders[k : k + 64]).select("id", pack(0).alias(MARKS[k // 32]), pack(1).alias(MARKS[k // 32 + 1]))
-        out = some if out is None else out.join(some, "id")
-    return out
+def sketches(lines: DataFrame, chars: int) -> DataFrame:
+    """(id, size, d0, d1, ...): how many shingles a line's set has, and the parities of their numbers by class, 64 in a long."""
+    each = lines.select("id", F.explode(shingles("line", chars)).alias("h"))
+    each = each.select("id", F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"), F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(len(MARKS) - 1)).alias("at"))
+    return each.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.when(F.col("at") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(m) for k, m in enumerate(MARKS)])
 
 
-def agree(x: str, y: str) -> Column:
-    """Whether enough digests of the two sides are the same."""
+def may_link(threshold: float) -> Callable[[str, str], Column]:
+    """Whether the sketches of the two sides let their sets reach the threshold t: sets that do differ in at most (1 - t) / (1 + t) of the sum of their sizes."""
 
-    def differ(c: str) -> Column:
-        bits = F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))
-        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    def agree(x: str, y: str) -> Column:
+        n, m = F.col(f"size{x}"), F.col(f"size{y}")
+        differ = reduce(Column.__add__, [F.bit_count(F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))) for c in MARKS])
+        return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (differ <= (1 - threshold) / (1 + threshold) * (n + m) + 1e-6)
 
-    return reduce(Column.__add__, map(differ, MARKS)) <= DIGESTS - AGREE
+    return agree
 
 
 def most_frequent(rows: DataFrame) -> DataFrame:
@@ -150,16 +147,17 @@ def line_links(docs: DataFrame, chars: int, threshold: float, run: int, bands: i
     keys = band_keys(occurrences(docs).select("id", "line"), chars, run, bands, rows).repartition("band")  # one exchange for the sums and the join
     near = checkpoint(keys.join(most_frequent(keys), "band").select("band", "id", "n", "top"))
     lines = checkpoint(lines_of(docs, checkpoint(near.select("id").distinct())))
-    marks = checkpoint(digests(lines, chars))
-    return band_links(near, marks, lambda pairs: verified(lines, pairs, chars, threshold), lambda ids: prefix_pairs(lines, ids, chars, threshold))
+    marks = checkpoint(sketches(lines, chars))
+    return band_links(near, marks, may_link(threshold), lambda pairs: verified(lines, pairs, chars, threshold), lambda ids: prefix_pairs(lines, ids, chars, threshold))
 
 
-def band_links(near: DataFrame, marks: DataFrame, verify: Callable, wide: Callable | None = None, rounds: int = 2, found: DataFrame | None = None) -> DataFrame:
+def band_links(near: DataFrame, marks: DataFrame, agree: Callable, verify: Callable, wide: Callable | None = None, rounds: int = 2, found: DataFrame | None = None) -> DataFrame:
     """(a, b): links between ids of near (band, id, n, top) whose marks agree and that verify (pairs to pairs) lets pass.
 
-    wide: ids (id, root) to all pairs that can pass, for bands of over SMALL_BAND ids. found: links known before.
+    marks: id and the columns that agree compares, by the names of two sides. wide: ids (id, root) to all pairs that can pass, for bands of over SMALL_BAND ids. found: links known before.
     """
-    mark = lambda x: marks.select(F.col("id").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in MARKS])
+    names = [c for c in marks.columns if c != "id"]
+    mark = lambda x: marks.select(F.col("id").alias(f"id{x}"), *[F.col(c).alias(c + x) for c in names])
     classes_of = lambda links: checkpoint(components(links).select(F.col("node").alias("id"), "root"))
     classes = None if found is None else classes_of(found)
     left = near
@@ -180,14 +178,18 @@ def band_links(near: DataFrame, marks: DataFrame, verify: Callable, wide: Callab
         return near.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     # all pairs of ids of a band that are still in different classes
     rest = near.join(classes, "id", "left").select("band", "id", "top", F.coalesce("root", "id").alias("root"))
-    mixed = rest.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y").select("band", "n")
-    rest = checkpoint(rest.filter("id <> top").join(mixed, "band").join(marks, "id"))
+    mixed = rest.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"))
+    rest = checkpoint(rest.filter("id <> top").join(mixed.filter("roots > 1").drop("roots"), "band"))
     if rest.isEmpty():
         return found
-    side = lambda df, x, *more: df.select(*more, *[F.col(c).alias(f"{c}{x}") for c in ("id", "root", *MARKS)])
     small = rest.filter(F.col("n") <= SMALL_BAND) if wide else rest
-    x, y = side(small, "x", F.col("band").alias("bx")), side(small, "y", F.col("band").alias("by"))
-    more = x.join(y, (F.col("bx") == F.col("by")) & (F.col("idx") < F.col("idy")) & (F.col("rootx") != F.col("rooty")) & agree("x", "y")).select(F.col("idx").alias("a"), F.col("idy").alias("b"))
+    bands = small.groupBy("id").agg(F.collect_set("band").alias("bands"))
+    small = checkpoint(small.select("band", "id", "root", "main").join(marks.join(bands, "id"), "id"))
+    side = lambda df, x: df.select(*[F.col(c).alias(f"{c}{x}") for c in ("band", "id", "root", "main", "bands", *names)])
+    x, y = side(small.filter("root <> main"), "x"), side(small, "y")
+    meet = (F.col("bandx") == F.col("bandy")) & (F.col("rootx") != F.col("rooty")) & ((F.col("rooty") == F.col("mainy")) | (F.col("idx") < F.col("idy"))) & agree("x", "y")
+    once = F.array_min(F.array_intersect("bandsx", "bandsy")) == F.col("bandx")
+    more = x.join(y, meet & once).select(F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b"))
     large = checkpoint(rest.filter(F.col("n") > SMALL_BAND).select("id", "root").distinct()) if wide else None
     if large is not None and not large.isEmpty():
         some = wide(large).select(F.col("a").alias("idx"), F.col("b").alias("idy"))

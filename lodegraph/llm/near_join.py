@@ -16,19 +16,23 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lodegraph.llm import simhash
 from lodegraph.llm.common import checkpoint, components, is_small, unused
-from lodegraph.llm.line_dedup import BROADCAST_IDS, DIGESTS, MARKS, band_links, most_frequent
+from lodegraph.llm.line_dedup import BROADCAST_IDS, band_links, most_frequent
 
 BANDS, ROWS = 10, 4
+#: digests of a set, and those that agree in candidates: at a similarity of 0.8, 109 of 128 are expected to (deviation 4)
+DIGESTS, AGREE = 128, 101
+MARKS = [f"d{k}" for k in range(DIGESTS // 32)]
 _TIMES = np.random.default_rng(20240611).integers(0, 1 << 63, DIGESTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -61,6 +65,16 @@ def _minima(tokens: np.ndarray) -> np.ndarray:
     return low
 
 
+def agree(x: str, y: str) -> Column:
+    """Whether enough digests of the two sides are the same."""
+
+    def differ(c: str) -> Column:
+        bits = F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))
+        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    return reduce(Column.__add__, map(differ, MARKS)) <= DIGESTS - AGREE
+
+
 def features(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, h, k, fp, bands, d0, ...) of each row: its text's hash, the set's key, the fingerprint, band keys and digests."""
     schema = "doc_id long, h long, k long, fp long, bands array<long>, " + ", ".join(f"{m} long" for m in MARKS)
@@ -124,7 +138,7 @@ def links(docs: DataFrame, rows: DataFrame, size: int, threshold: float) -> Data
     ids = near.select(F.col("id").alias("k")).union(close.select(F.explode(F.array("a", "b")))).distinct()
     texts = checkpoint(texts_of(docs, rows, checkpoint(ids)))
     verify = lambda pairs: verified(texts, pairs, size, threshold)
-    return band_links(near, sets.select(F.col("k").alias("id"), *MARKS), verify, found=checkpoint(verify(close)))
+    return band_links(near, sets.select(F.col("k").alias("id"), *MARKS), agree, verify, found=checkpoint(verify(close)))
 
 
 def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:

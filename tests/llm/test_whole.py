@@ -169,3 +169,36 @@ def test_stages_take_odd_tables(spark, tmp_path):
             assert ids & {101, 102, 103, 104} == set() and set(range(24)) | {None, 106} <= ids
         else:
             assert not ids
+
+
+def test_lines_of_a_family_are_not_compared_all_with_all(spark, monkeypatch):
+    g = random.Random(15)
+    word = lambda: "".join(chr(97 + g.randrange(26)) for _ in range(g.randint(2, 8)))
+    base = [word() for _ in range(60)]
+    lines = []
+    for _ in range(150):  # mutual similarities are mostly just below the threshold
+        x = list(base)
+        for i in g.sample(range(60), 4):
+            x[i] = word()
+        lines.append(" ".join(x))
+    pairs = [(x, changed(g, x)) for x in lines]
+    verified, seen = line_dedup.verified, []
+
+    def counted(rows, some, *rest):
+        seen.append(some.count())
+        return verified(rows, some, *rest)
+
+    monkeypatch.setattr(line_dedup, "verified", counted)
+    assert joined(spark, pairs) == 1
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for p in pairs for x in p]
+    near = sum(len(x & y) >= 0.78 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
+    assert sum(seen) < 1.5 * near + 4 * len(sets), (seen, near)
+
+
+def test_components_of_few_edges_are_those_of_the_rounds(spark):
+    g = random.Random(16)
+    rows = [(g.randrange(-300, 300), g.randrange(-300, 300)) for _ in range(250)] + [(7, 7)] + [(i, i + 1) for i in range(1000, 1400)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    few, rounds = ({tuple(r) for r in common.components(edges, few=n).select("node", "root").collect()} for n in (1000, 0))
+    assert few == rounds
+    assert common.components(edges.limit(0)).count() == 0
