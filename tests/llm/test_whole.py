@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,18 @@ def test_components_of_few_edges_are_those_of_the_rounds(spark):
     few, rounds = ({tuple(r) for r in common.components(edges, few=n).select("node", "root").collect()} for n in (1000, 0))
     assert few == rounds
     assert common.components(edges.limit(0)).count() == 0
+
+
+def test_words_of_plain_letters_need_no_pattern():
+    import public_tokenizers
+
+    from lodegraph.llm.wordbpe import Encoder
+
+    enc, seen = Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    split = enc.split
+    enc.split = lambda w: seen.append(w) or split(w)
+    texts = ["Plain words, some twice. words, words", "don't été. a.b, x,, 'tis 12. . ,", "I'm'll, s. 's. ''s t, ſt, ſ."]
+    ids, counts = enc.encode(texts)
+    want = [e.ids for e in enc.whole.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert "don't" in seen and not {"plain", "words,", "words", "twice.", "some"} & set(seen)
