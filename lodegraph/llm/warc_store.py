@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import shared_path, table
+from lodegraph.llm.common import checkpoint, is_small, shared_path, table
 
 #: Fixed values of the format
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NEWLINE = "\r\n"
 RECORD_END = "\r\n\r\n"
+#: keys of repeated payloads that may be broadcast (16 bytes each)
+BROADCAST_DIGESTS = 1_000_000
 
 
 def _field(name: str, value: Column) -> Column:
@@ -57,10 +59,24 @@ def records(pages: DataFrame, min_bytes: int = 1000, date: str = "1970-01-01T00:
     return p.select("page_id", "sha256", header.alias("header"))
 
 
+def distinct_payloads(pages: DataFrame, few: int = BROADCAST_DIGESTS) -> DataFrame:
+    """(sha256, payload) of each different payload. Only payloads that come again are exchanged, all of them if over `few` do."""
+    b = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = pages.select(F.sha2(b, 256).alias("sha256"), b.alias("payload"))
+    once = lambda df: df.groupBy("sha256").agg(F.first("payload").alias("payload"))
+    # equal payloads have equal keys; a key that different payloads share only sends them to the exchange, too
+    key = F.xxhash64("sha256").alias("k")
+    again = checkpoint(rows.select(key).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k"))
+    if not is_small(again, few):
+        return once(rows)
+    keyed, again = rows.withColumn("k", key), F.broadcast(again)
+    alone = keyed.join(again, "k", "left_anti").select("sha256", "payload")
+    return alone.union(once(keyed.join(again, "k", "left_semi")))
+
+
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000) -> None:
     records(pages, min_bytes).write.mode("error").parquet(f"{path}/headers")
-    b = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    pages.select(F.sha2(b, 256).alias("sha256"), b.alias("payload")).groupBy("sha256").agg(F.first("payload").alias("payload")).write.mode("error").parquet(f"{path}/payloads")
+    distinct_payloads(pages).write.mode("error").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

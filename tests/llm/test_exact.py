@@ -231,6 +231,24 @@ def test_warc(spark):
     assert spark.read.parquet(f"{path}/payloads").count() == len({data(h) for _, _, h in pages})
 
 
+@pytest.mark.parametrize("few", [10, 0])
+def test_warc_payloads_that_come_again(spark, few):
+    pages = [(i, f"<p>{i % 7 if i < 20 else i}") for i in range(60)] + [(60, None), (61, ""), (5, "<p>5"), (5, "<p>5")]
+    got = warc_store.distinct_payloads(spark.createDataFrame(pages, "page_id long, html string"), few)
+    want = {(h or "").encode() for _, h in pages}
+    assert order((r.sha256, bytes(r.payload)) for r in got.collect()) == order((hashlib.sha256(x).hexdigest(), x) for x in want)
+
+
+def test_warc_exchanges_no_payload_that_comes_once(spark):
+    path = common.shared_path(spark, "test-warc")
+    pages = [(i, None, hashlib.shake_256(b"%d" % i).hexdigest(2000)) for i in range(500)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    warc_store.write_archive(df, path)
+    assert 0 < written() - before < 500 * 1000
+
+
 def test_warc_of_nothing(spark):
     path = common.shared_path(spark, "test-warc")
     warc_store.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
