@@ -44,6 +44,8 @@ BROADCAST_IDS = 1_000_000
 SKETCH = 1024
 #: positions of one block of a long line, in bytes of UTF-16
 BLOCK = 1 << 16
+#: runs of a line in one row of the minima's input: a line is looked up, and its minima stored, once for so many
+STEP = 8
 BLANKS = " \t\x0b\f\r"
 
 
@@ -53,21 +55,23 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.filter(F.btrim("line", F.lit(BLANKS)) != "").withColumn("id", F.xxhash64("line"))
 
 
-def minima(lines: DataFrame, run: int, orders: list[Column]) -> DataFrame:
-    """(id, m0, m1, ..., n): the least of each order of the runs of `run` characters of (id, line), by their hashes h; n rows had the line."""
+def minima(lines: DataFrame, run: int, orders: Callable[[Column], list[Column]]) -> DataFrame:
+    """(id, m0, m1, ..., n): the least of each order (of a hash) of the runs of `run` characters of (id, line); n rows had the line."""
     wide = lines.select("id", F.encode("line", "UTF-16BE").alias("b"))
     wide = wide.select("id", "b", F.greatest(F.octet_length("b") - F.lit(2 * run - 1), F.lit(1)).alias("last"))
     wide = wide.select("id", "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(BLOCK))).alias("start"))
-    each = wide.select("id", "b", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + (BLOCK - 2), F.col("last")), F.lit(2))).alias("at"))
-    each = each.select("id", F.xxhash64(F.substring("b", F.col("at"), F.lit(2 * run))).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), (F.col("at") == 1).cast("int").alias("first"))
-    low = [F.min(x).alias(f"m{j}") for j, x in enumerate(orders)]
+    each = wide.select("id", "b", "last", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + (BLOCK - 2), F.col("last")), F.lit(2 * STEP))).alias("at"))
+    # the runs of a step, the last one again beyond the end: it changes no minimum
+    hashes = [F.xxhash64(F.substring("b", F.least(F.col("at") + 2 * k, F.col("last")), F.lit(2 * run))).bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"h{k}") for k in range(STEP)]
+    each = each.select("id", *hashes, (F.col("at") == 1).cast("int").alias("first"))
+    low = [F.min(F.least(*x)).alias(f"m{j}") for j, x in enumerate(zip(*[orders(F.col(f"h{k}")) for k in range(STEP)]))]
     return each.groupBy("id").agg(*low, F.sum("first").alias("n"))
 
 
 def band_keys(lines: DataFrame, chars: int, run: int, bands: int, rows: int) -> DataFrame:
     """(id, n, band) from (id, line): how many rows have the line, and the keys of its bands."""
     # nearness to a point, by XOR: the cheapest order; every hash of two lines together is as likely to be the nearest
-    points = [F.col("h").bitwiseXOR(F.lit((j * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF)) for j in range(bands * rows)]
+    points = lambda h: [h.bitwiseXOR(F.lit((j * 0x9E3779B1 + 0x7F4A7C15) & 0xFFFFFFFF)) for j in range(bands * rows)]
     keys = lambda r: F.explode(F.array(*[F.xxhash64(F.lit(r), F.lit(k), *[f"m{j}" for j in range(k * rows, (k + 1) * rows)]) for k in range(bands)])).alias("band")
     short = minima(lines.filter(F.length("line") <= SHORT), chars, points)
     return minima(lines, run, points).select("id", "n", keys(run)).union(short.select("id", "n", keys(chars)))

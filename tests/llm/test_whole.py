@@ -218,3 +218,27 @@ def test_words_of_plain_letters_need_no_pattern():
     want = [e.ids for e in enc.whole.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
     assert "don't" in seen and not {"plain", "words,", "words", "twice.", "some"} & set(seen)
+
+
+def test_minima_of_lines_take_several_runs_a_row(spark):
+    import xxhash
+
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (1, 8, 9, 10, 16, 17, 24, 25, 500, 40_000)] + ["😀" * 30, "x" * 100]
+    points = [0, 0x7F4A7C15]
+    low = line_dedup.minima(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), 9, lambda h: [h.bitwiseXOR(F.lit(p)) for p in points])
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.id: (r.m0, r.m1, r.n) for r in low.collect()}
+        node, made = low._jdf.queryExecution().executedPlan(), []
+        while node.children().size():
+            if node.nodeName() == "Generate":
+                made.append(node.metrics().apply("numOutputRows").value())
+            node = node.children().apply(0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    runs = [[b[2 * i : 2 * i + 18] for i in range(max(1, len(b) // 2 - 8))] for b in (x.encode("utf-16-be") for x in lines)]
+    hashes = [[xxhash.xxh64(x, seed=42).intdigest() & 0xFFFFFFFF for x in r] for r in runs]
+    assert got == {i: (*(min(h ^ p for h in hs) for p in points), 1) for i, hs in enumerate(hashes)}
+    assert max(made) <= sum(map(len, runs)) / 4
