@@ -242,3 +242,41 @@ def test_minima_of_lines_take_several_runs_a_row(spark):
     hashes = [[xxhash.xxh64(x, seed=42).intdigest() & 0xFFFFFFFF for x in r] for r in runs]
     assert got == {i: (*(min(h ^ p for h in hs) for p in points), 1) for i, hs in enumerate(hashes)}
     assert max(made) <= sum(map(len, runs)) / 4
+
+
+def test_both_signatures_take_one_pass_and_sketches_several_shingles_a_row(spark, tmp_path):
+    import xxhash
+
+    rng = random.Random(6)
+    lines = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (1, 5, 12, 13, 64, 65, 900, 3000)]
+    spark.createDataFrame(list(enumerate(lines)), "id long, line string").write.parquet(f"{tmp_path}/lines")
+    read = spark.read.parquet(f"{tmp_path}/lines")
+    keys = line_dedup.band_keys(read, 5, 9, 8, 3)
+    assert keys.groupBy("id").count().filter("count = 16").count() == 5  # lines of up to 64 characters have both
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert keys._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+        marks = line_dedup.sketches(read, 5)
+        got = {r.id: [r.size, *(r[m] for m in line_dedup.MARKS)] for r in marks.collect()}
+        node, made = marks._jdf.queryExecution().executedPlan(), []
+        while node.children().size():
+            if node.nodeName() == "Generate":
+                made.append(node.metrics().apply("numOutputRows").value())
+            node = node.children().apply(0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sets = [{xxhash.xxh64(x[i : i + 5].encode("utf-16-be"), seed=42).intdigest() for i in range(max(1, len(x) - 4))} for x in lines]
+    for i, hashes in enumerate(sets):
+        want = [0] * len(line_dedup.MARKS)
+        for h in hashes:
+            want[h >> 6 & 15] ^= 1 << (h & 63)
+        assert got[i] == [len(hashes), *(w - (w >> 63 << 64) for w in want)]
+    assert sum(made) <= sum(map(len, sets)) / 4
+
+
+def test_stored_tables_are_read_in_few_tasks(spark):
+    out = common.stored(spark.range(1000, numPartitions=40).filter("id <> 7"))
+    assert out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert out.count() == 999 and out.columns == ["id"] and "FileScan parquet" in out._jdf.queryExecution().executedPlan().toString()
+    assert common.stored(spark.range(0)).count() == 0
