@@ -191,6 +191,16 @@ def test_repeats(spark, shard):
     assert rows(got, *COLS) == brute_repeats(docs, 60)
 
 
+def test_repeat_whose_anchor_hash_begins_with_zeros(spark):
+    gram = "the passage " * 10 + "awxojoao"
+    assert int(suffix_dedup.gram_hashes(np.frombuffer(gram.encode(), np.uint8), 128)[0]) < 1 << 32
+    passage = "a" * 136 + gram + "b" * 136  # the gram is in each window of 400 bytes
+    docs = [(1, passage), (2, passage + " more")]
+    out = suffix_dedup.without_repeats(frame(spark, docs), 400)
+    assert rows(out, *COLS) == brute_repeats(docs, 400)
+    assert [r.n_removed for r in out.collect()] == [400, 400]
+
+
 def test_without_repeats_keeps_columns(spark):
     docs = [(d, t) for d, t in texts() if t is None or len(t) < 10_000]
     out = suffix_dedup.without_repeats(frame(spark, docs), 400)
