@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.runtime import checkpoint
+
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Two snapshots (file_path, hash) -> (change, path): added, modified, deleted."""
@@ -70,6 +72,8 @@ def assign_ids(df: DataFrame, name: str, *order: str) -> DataFrame:
     from pyspark.sql import Window
 
     parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    # counts and rows must see the same partitions; run twice, the exchange has other bounds (they are sampled) and sizes
+    parts = checkpoint(parts)
     counts = parts.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_m"))  # one row a partition
     base = counts.select("_p", "_m", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return parts.join(base, "_p").withColumn(name, F.col("_b") + F.col("_i") - F.col("_m") + 1).drop("_p", "_i", "_m", "_b")

@@ -210,6 +210,13 @@ def test_dense_ids_follow_the_order(spark):
     assert [r.file_id for r in inc.assign_ids(df, "file_id", "file_path").orderBy("file_path").collect()] == list(range(1, 201))
 
 
+def test_dense_ids_of_wide_rows(spark):
+    # with the columns that the counts don't need, an exchange has several partitions to the end; without, Spark makes them one
+    df = spark.range(40_000).select(F.format_string("p%05d", "id").alias("file_path"), F.concat(*[F.sha2(F.concat("id", F.lit(f"/{k}")), 256) for k in range(4)]).alias("hash")).repartition(7)
+    out = inc.assign_ids(df, "file_id", "file_path").groupBy((F.col("file_id") - F.substring("file_path", 2, 5).cast("long")).alias("shift"))
+    assert [(r.shift, r.n) for r in out.agg(F.count("hash").alias("n"), F.max("hash")).collect()] == [(1, 40_000)]
+
+
 def test_import_candidates_and_sections(spark):
     tried = resolve.import_candidates("src/a/x.ts", "../b/y.js")
     assert tried[0] == "src/b/y.js" and "src/b/y.ts" in tried and tried[-8] == "src/b/y/index.ts"
