@@ -26,10 +26,14 @@ class Tables:
         return self.embeddings.filter(F.col("vec_id") == vec_id).first()["embedding"]
 
     def edges(self) -> DataFrame:
+        return self.edge_rows().distinct()
+
+    def edge_rows(self) -> DataFrame:
+        """Edges, as often as the tables have them."""
         o = self.orders.select((F.col("o_custkey") + CUSTOMER).alias("source"), (F.col("o_orderkey") + ORDER).alias("target"), F.lit("refs").alias("kind"))
         c = self.lineitem.select((F.col("l_orderkey") + ORDER).alias("source"), (F.col("l_partkey") + PART).alias("target"), F.lit("calls").alias("kind"))
         i = self.lineitem.select((F.col("l_partkey") + PART).alias("source"), (F.col("l_suppkey") + SUPPLIER).alias("target"), F.lit("imports").alias("kind"))
-        return o.union(c).union(i).distinct()
+        return o.union(c).union(i)
 
     def nodes(self) -> DataFrame:
         col = lambda c, t: c.cast(t)

@@ -112,9 +112,13 @@ def restore_summaries(old_nodes: DataFrame, new_nodes: DataFrame, keep: float =
     return out.withColumn("summary", F.when(held, F.col("_s"))).withColumn("summary_status", F.when(held, "done").otherwise("pending")).withColumn("embedding_status", F.lit("pending")).drop("same", "keeps", "_s")
 
 
-def slice_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with an end in nodes (key): two semi joins."""
+def slice_edges(edges: DataFrame, nodes: DataFrame, broadcast_keys: int = 1_000_000) -> DataFrame:
+    """The different edges with an end in nodes (key). Up to broadcast_keys keys go to every task, so that only edges found are exchanged; beyond, two semi joins."""
     n = nodes.select("key").distinct()
+    if n.limit(broadcast_keys + 1).count() <= broadcast_keys:
+        ends = lambda c, flag: F.broadcast(n.select(F.col("key").alias(c), F.lit(True).alias(flag)))
+        found = edges.join(ends("source_key", "_s"), "source_key", "left").join(ends("target_key", "_t"), "target_key", "left").filter("_s OR _t")
+        return found.select(*edges.columns).distinct()
     a = edges.join(n.withColumnRenamed("key", "source_key"), "source_key", "left_semi")
     b = edges.join(n.withColumnRenamed("key", "target_key"), "target_key", "left_semi")
     return a.select(*edges.columns).unionByName(b.select(*edges.columns)).distinct()

@@ -217,6 +217,20 @@ def test_dense_ids_of_wide_rows(spark):
     assert [(r.shift, r.n) for r in out.agg(F.count("hash").alias("n"), F.max("hash")).collect()] == [(1, 40_000)]
 
 
+def test_sliced_edges_alone_are_exchanged(spark):
+    edges = spark.range(20_000).selectExpr("id % 5000 AS source_key", "(id % 5000) * 7 % 5000 AS target_key", "'k' AS kind")
+    edges = edges.union(spark.createDataFrame([(None, 3, "k"), (None, None, "k")], edges.schema))
+    nodes = spark.createDataFrame([(3,), (3,), (77,), (None,)], "key long")
+    out = inc.slice_edges(edges, nodes)
+    expected = sorted({(s, s * 7 % 5000) for s in range(5000) if {s, s * 7 % 5000} & {3, 77}} | {(None, 3)}, key=str)
+    for df in (out, inc.slice_edges(edges, nodes, broadcast_keys=1)):
+        assert sorted(((r.source_key, r.target_key) for r in df.collect()), key=str) == expected
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # the one exchange of edges is that of the result's distinct, above the joins
+    top = plan.index("BroadcastHashJoin")
+    assert plan[:top].count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(source_key" not in plan[top:] and "SortMergeJoin" not in plan
+
+
 def test_import_candidates_and_sections(spark):
     tried = resolve.import_candidates("src/a/x.ts", "../b/y.js")
     assert tried[0] == "src/b/y.js" and "src/b/y.ts" in tried and tried[-8] == "src/b/y/index.ts"
