@@ -191,6 +191,16 @@ def test_repeats(spark, shard):
     assert rows(got, *COLS) == brute_repeats(docs, 60)
 
 
+def test_contexts_of_repeats_are_made_once(spark):
+    # strings with over 3 occurrences are counted by windows, the others go to shards: both read one exchange of contexts
+    docs = [(i, f"{i} " * 20 + "a sentence that is in all of the texts, every time in other surroundings " + f" {i % 9}" * 30) for i in range(18)]
+    out = suffix_dedup.repeats(frame(spark, docs).select("text"), 60, 16, 3)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow windows") == 2 and plan.count("MapInArrow shards") == 1
+    assert plan.count("MapInArrow contexts") == 1
+
+
 def test_repeat_whose_anchor_hash_begins_with_zeros(spark):
     gram = "the passage " * 10 + "awxojoao"
     assert int(suffix_dedup.gram_hashes(np.frombuffer(gram.encode(), np.uint8), 128)[0]) < 1 << 32
