@@ -128,10 +128,11 @@ def shingles(line: Column | str, chars: int) -> Column:
     return F.array_distinct(F.element_at(each, 1))
 
 
-def lines_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, line) of each id, once."""
+def places(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, doc, pos, id, line) of each line that is not blank; line is null but for these ids."""
     ids = F.broadcast(ids) if is_small(ids, BROADCAST_IDS) else ids
-    return occurrences(docs).select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    here = occurrences(docs).join(ids.select("id", F.lit(True).alias("here")), "id", "left")
+    return here.select("doc_id", "doc", "pos", "id", F.when(F.col("here"), F.col("line")).alias("line"))
 
 
 def verified(lines: DataFrame, pairs: DataFrame, chars: int, threshold: float) -> DataFrame:
@@ -164,15 +165,22 @@ def prefix_pairs(lines: DataFrame, ids: DataFrame, chars: int, threshold: float)
 
 def line_links(docs: DataFrame, chars: int, threshold: float, run: int, bands: int, rows: int) -> DataFrame:
     """(a, b): ids of lines that are near copies; their components are those of all links between candidates."""
+    return placed_links(docs, chars, threshold, run, bands, rows)[1]
+
+
+def placed_links(docs: DataFrame, chars: int, threshold: float, run: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The places of all lines (doc_id, doc, pos, id), and line_links: the texts are split twice, for the minima and for both of these."""
     keys = band_keys(occurrences(docs).select("id", "line"), chars, run, bands, rows).repartition("band")  # one exchange for the counts and the join
     # most bands have one line: found and left out by hashing, so that only the others' rows are sorted
     sums = keys.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("n").alias("most"))
     several = keys.join(sums.filter("low <> high").select("band", "most").hint("shuffle_hash"), "band")
     top = F.max(F.when(F.col("n") == F.col("most"), F.col("id"))).over(Window.partitionBy("band"))
     near = stored(several.select("band", "id", "n", top.alias("top")))
-    lines = stored(lines_of(docs, stored(near.select("id").distinct())))
+    at = stored(places(docs, stored(near.select("id").distinct())))
+    lines = stored(at.filter("line is not null").groupBy("id").agg(F.first("line").alias("line")))
     marks = stored(sketches(lines, chars))
-    return band_links(near, marks, may_link(threshold), lambda pairs: verified(lines, pairs, chars, threshold), lambda ids: prefix_pairs(lines, ids, chars, threshold))
+    links = band_links(near, marks, may_link(threshold), lambda pairs: verified(lines, pairs, chars, threshold), lambda ids: prefix_pairs(lines, ids, chars, threshold))
+    return at.drop("line"), links
 
 
 def band_links(near: DataFrame, marks: DataFrame, agree: Callable, verify: Callable, wide: Callable | None = None, rounds: int = 2, found: DataFrame | None = None) -> DataFrame:
@@ -223,8 +231,9 @@ def band_links(near: DataFrame, marks: DataFrame, agree: Callable, verify: Calla
 
 def dropped_lines(docs: DataFrame, chars: int = 5, threshold: float = 0.8, run: int = 9, bands: int = 8, rows: int = 3) -> DataFrame:
     """(doc_id, doc, gone): the places of the lines that go, for each text that loses any; doc is the hash of its doc_id and text."""
-    classes = components(line_links(docs, chars, threshold, run, bands, rows)).select(F.col("node").alias("id"), "root")
-    occ = occurrences(docs).join(classes.hint("shuffle_hash"), "id", "left").select("doc_id", "doc", "pos", F.coalesce("root", "id").alias("cls"))
+    at, links = placed_links(docs, chars, threshold, run, bands, rows)
+    classes = components(links).select(F.col("node").alias("id"), "root")
+    occ = at.join(classes.hint("shuffle_hash"), "id", "left").select("doc_id", "doc", "pos", F.coalesce("root", "id").alias("cls"))
     first = occ.groupBy("cls").agg(F.min(F.struct("doc_id", "pos", "doc")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # a key of its own gives the join its own exchange, whose large partitions can be split
     first = first.select(F.hash("cls").alias("k"), "cls", "first")

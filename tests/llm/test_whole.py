@@ -280,3 +280,15 @@ def test_stored_tables_are_read_in_few_tasks(spark):
     assert out.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
     assert out.count() == 999 and out.columns == ["id"] and "FileScan parquet" in out._jdf.queryExecution().executedPlan().toString()
     assert common.stored(spark.range(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 1_000_000])
+def test_texts_are_split_twice_for_all_of_line_dedup(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_IDS", most)
+    split, calls = line_dedup.occurrences, []
+    monkeypatch.setattr(line_dedup, "occurrences", lambda docs: calls.append(1) or split(docs))
+    text = "the quick brown fox jumps over the lazy dog by the river"
+    docs = spark.createDataFrame([(1, f"{text}\nalone\n\n"), (2, f"{text}s\nalone"), (None, text), (3, None)], SCHEMA)
+    got = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {(1, "alone\n\n"), (2, ""), (None, text), (3, None)}
+    assert len(calls) == 2
